@@ -3,8 +3,8 @@
 Texts are folded (lower case, homoglyphs, digit and sign substitutions).  The
 lexicon holds word beginnings; it is learned on a bounded labelled sample by
 sequential covering: of all beginnings that toxic documents have far more often,
-the one that explains most documents not yet explained comes next, so words that
-only ride along in copies earn no place.  An Aho-Corasick automaton finds
+the one that explains most words not yet explained comes next; then the same goes
+on for documents without any.  Words that only ride along in copies earn no place.  An Aho-Corasick automaton finds
 entries at word starts, entries inside exception phrases don't count, and the
 summed weight is divided by the logarithm of the length before a logistic curve
 makes it a score.
@@ -38,7 +38,9 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "stupid question")
 FOLD = str.maketrans({k: v for k, v in (HOMOGLYPHS | SUBSTITUTES).items()} | {chr(0xFF41 + i): chr(0x61 + i) for i in range(26)} | {"​": "", "‌": "", "‍": "", "­": ""})
 WORD = re.compile(r"[^\W\d_]+")
-SHORTEST, LONGEST = 4, 12
+SHORTEST, LONGEST = 4, 16
+#: Ends an entry that must be the whole word.
+END = "|"
 
 
 def fold(text: str) -> str:
@@ -46,7 +48,8 @@ def fold(text: str) -> str:
 
 
 def beginnings(words: set[str]) -> set[str]:
-    return {w[:k] for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+    """The words' beginnings, and the words as a whole."""
+    return {w[:k] for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1)} | {w + END for w in words if len(w) < 3 * LONGEST}
 
 
 @dataclass
@@ -64,12 +67,9 @@ class Lexicon:
         if self._found is None:
             import ahocorasick
 
-            a = ahocorasick.Automaton()
-            for entry, w in self.weights.items():
-                a.add_word(entry, (len(entry), w))
-            for phrase in self.exceptions:
-                if fold(phrase) not in self.weights:
-                    a.add_word(fold(phrase), (len(fold(phrase)), None))
+            a, phrases = ahocorasick.Automaton(), {*map(fold, self.exceptions)}
+            for x in {*(e.removesuffix(END) for e in self.weights), *map(fold, self.exceptions)}:
+                a.add_word(x, (len(x), self.weights.get(x, 0.0), self.weights.get(x + END, 0.0), x in phrases))
             if len(a):
                 a.make_automaton()
             self._found = a
@@ -83,14 +83,15 @@ class Lexicon:
         folded = fold(text)
         free: list[tuple[int, int]] = []
         best: dict[int, tuple[float, int]] = {}
-        for last, (n, w) in a.iter(folded):
+        for last, (n, w, whole, phrase) in a.iter(folded):
             at = last - n + 1
             if at and folded[at - 1].isalpha():
                 continue
-            if w is None:
-                if last + 1 == len(folded) or not folded[last + 1].isalpha():
+            if (phrase or whole > w) and (last + 1 == len(folded) or not folded[last + 1].isalpha()):
+                w = max(w, whole)
+                if phrase:
                     free.append((at, last))
-            elif at not in best or w > best[at][0]:
+            if w and (at not in best or w > best[at][0]):
                 best[at] = (w, n)
         return [(at, folded[at : at + n], w) for at, (w, n) in sorted(best.items()) if not any(i <= at <= j for i, j in free)]
 
@@ -117,7 +118,7 @@ def _presence(sample: DataFrame, among: set[str] | None, label: int) -> DataFram
     return counts.groupBy("entry").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int = 0, modulus: int = 5, positives: int = 6000, negatives: int = 14000, ratio: float = 20.0, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int = 0, modulus: int = 5, positives: int = 6000, negatives: int = 14000, ratio: float = 20.0, weak_ratio: float = 5.0, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon from at most `positives` + `negatives` training documents."""
     sample = labelled_sample(docs, labels, label, held_out, modulus, {1: positives, 0: negatives})
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
@@ -129,15 +130,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int
     pos = {r["entry"]: r["n"] for r in _presence(sample, None, 1).where(F.col("n") >= least).collect()}
     neg = {r["entry"]: r["n"] for r in _presence(sample, set(pos), 0).collect()}
     weight = {e: math.log((n + 0.5) / (n1 + 1)) - math.log((neg.get(e, 0) + 0.5) / (n0 + 1)) for e, n in pos.items()}
-    candidates = {e for e, w in weight.items() if w >= math.log(ratio)}
+    candidates = {e for e, w in weight.items() if w >= math.log(weak_ratio)}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in row_blocks(batches):
-            out = [sorted(beginnings(set(WORD.findall(fold(t)))) & candidates) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["entries"])
+            out = [[c for w in sorted(set(WORD.findall(fold(t)))) if (c := sorted(beginnings({w}) & candidates))] for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.list_(pa.string())))], names=["words"])
 
-    of_doc = [r["entries"] for r in sample.where(F.col("label") == 1).select("text").mapInArrow(held, "entries array<string>").collect()]
-    lexicon = Lexicon({e: weight[e] for e in cover(of_doc, neg, least)}, exceptions)
+    of_doc = [r["words"] for r in sample.where(F.col("label") == 1).select("text").mapInArrow(held, "words array<array<string>>").collect()]
+    strong = {e for e in candidates if weight[e] >= math.log(ratio)}
+    chosen = cover([[e for e in w if e in strong] for d in of_doc for w in d], weight, max(least, n1 // 50))
+    for among in (strong, candidates):
+        rest = [[e for w in d for e in w if e in among] for d in of_doc if not any(e in chosen for w in d for e in w)]
+        chosen += cover(rest, weight, least)
+    lexicon = Lexicon({e: weight[e] for e in chosen}, exceptions)
 
     def densities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in row_blocks(batches):
@@ -148,27 +154,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int
     return lexicon
 
 
-def cover(of_doc: list[list[str]], elsewhere: dict[str, int], least: int) -> list[str]:
-    """Entries by the documents that they explain first; of equals the one rarest elsewhere, then the longest."""
-    left = {k: set(v) for k, v in enumerate(of_doc)}
+def cover(items: list[list[str]], weight: dict[str, float], least: int) -> list[str]:
+    """Entries by what they explain first: items not explained yet times weight; of equals the longest."""
+    left = dict(enumerate(map(set, items)))
     having: dict[str, set[int]] = defaultdict(set)
     for k, entries in left.items():
         for e in entries:
             having[e].add(k)
     chosen: list[str] = []
     while having:
-        e = max(having, key=lambda x: (len(having[x]), -elsewhere.get(x, 0), len(x), x))
-        if len(having[e]) < least:
-            break
-        chosen.append(e)
+        e = max(having, key=lambda x: (len(having[x]) * weight[x], len(x), x))
+        if len(having[e]) >= least:
+            chosen.append(e)
+        else:
+            having.pop(e)
+            continue
         for k in list(having[e]):
             for x in left.pop(k):
-                having[x].discard(k)
-        having = {x: s for x, s in having.items() if s}
+                if x in having:
+                    having[x].discard(k)
+        having = {x: s for x, s in having.items() if len(s) >= least}
     return chosen
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> tuple[float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 60) -> tuple[float, float]:
     """Bias and slope, by Newton steps."""
     z = np.stack([np.ones(len(x)), x], 1)
     w = np.zeros(2)
