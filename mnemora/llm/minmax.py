@@ -6,7 +6,7 @@ Bands of three permutations (six values) send sets to buckets.  Documents of
 equal sets are one class and only its smallest id goes on.
 
 Buckets never give all their pairs.  First every class is held against its
-bucket's smallest class; what links there forms components.  Buckets that still
+bucket's pivot, the class that meets most others; what links there forms components.  Buckets that still
 span several components then give the pairs across components that were not
 compared yet.  A signature that rules out the threshold by six standard
 deviations ends a pair early; all other pairs are compared on full sets.
@@ -131,6 +131,12 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text of those ids; broadcast only while they are few."""
+    few = ids.count() <= BROADCAST_IDS
+    return written(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "near-texts")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (written table) whose full sets reach the threshold."""
 
@@ -139,7 +145,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
 
         def of(i: int, text: str) -> np.ndarray:
             if i not in held:
-                if len(held) >= 64:
+                if len(held) >= 64:  # pairs come by pivot
                     held.clear()
                 held[i] = shingles(text, size)
             return held[i]
@@ -152,14 +158,93 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    needed = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-    texts = written(needed, "near-texts")
+    texts = _texts(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), docs)
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("t_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t_b")), "b")
     return both.mapInArrow(run, "a long, b long")
 
 
+def _first_shared(keys: list[list[int]], key: int) -> np.ndarray:
+    """Membership in buckets before `key`: rows whose product is above 0 met there already."""
+    before = {k: c for c, k in enumerate(sorted({k for own in keys for k in own if k < key}))}
+    member = np.zeros((len(keys), len(before)), np.float32)
+    for r, own in enumerate(keys):
+        member[r, [before[k] for k in own if k < key]] = 1
+    return member
+
+
+def _cross(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a block of a bucket, each with the other rows to hold it against: of other components, of a fitting size, first met here."""
+    i, j, key = (t.column(c)[0].as_py() for c in ("i", "j", "key"))
+    block, n = t.column("block").to_numpy(), t.column("n").to_numpy()
+    _, comp, sizes = np.unique(t.column("c").to_numpy(), return_inverse=True, return_counts=True)
+    member = _first_shared(t.column("keys").to_pylist(), key)
+    usual = int(sizes.argmax())
+    odd = np.flatnonzero(comp != usual)
+    done = np.zeros(len(n), bool)
+    for r in odd:
+        done[r] = True  # a pair of two odd rows comes once
+        ok = (comp != comp[r]) & ~done & (100 * np.minimum(n, n[r]) >= percent * np.maximum(n, n[r]))
+        if i != j:
+            ok &= block != block[r]
+        cand = np.flatnonzero(ok)
+        if member.shape[1] and len(cand):
+            cand = cand[member[cand] @ member[r] == 0]
+        if len(cand):
+            yield int(r), cand
+
+
+def _across(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, block_rows: int = 1024) -> DataFrame:
+    """Components once the pairs across components, in buckets that span several, are compared too.
+
+    A bucket's rows meet in blocks: first their sketches, then the full sets of
+    rows that a sketch doesn't rule out.  Rows grow with buckets, never with pairs.
+    """
+    placed = shared.where(F.col("m") > 2).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"), F.col("least.rep").alias("pivot"))
+    span = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where(F.col("lo") != F.col("hi")).select("key", F.ceil(F.col("m") / block_rows).cast("int").alias("blocks"))
+    rows = placed.where(F.col("rep") != F.col("pivot")).drop("pivot").join(span, "key")
+    own = rows.groupBy("rep").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most one a band
+    dealt = rows.join(own, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = written(dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "c", "keys"), "spanning")
+
+    def likely(t: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(t), -1)
+        k, share = x.shape[1], percent / 100
+        bound = k * share - 6 * np.sqrt(k * share * (1 - share))
+        keep = np.zeros(len(t), bool)
+        for r, cand in _cross(t, percent):
+            cand = cand[(x[cand] == x[r]).sum(1) >= bound]
+            keep[cand] = True
+            keep[r] |= len(cand) > 0
+        return t.select(["key", "i", "j", "rep"]).filter(pa.array(keep))
+
+    def linked(t: pa.Table) -> pa.Table:
+        sets = [shingles(x, size) for x in t.column("text").to_pylist()]
+        flat, place = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum([0, *map(len, sets)])[:-1]
+        sizes = np.array([len(s) for s in sets])
+        rep, comp = t.column("rep").to_pylist(), t.column("c").to_numpy()
+        mark, out = np.zeros(len(flat), np.int64), []
+        for r, cand in _cross(t, percent):
+            mine = place[starts[r] : starts[r] + sizes[r]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[place], starts)[cand]
+            mark[mine] = 0
+            hit = cand[100 * both >= percent * (sizes[cand] + sizes[r] - both)]
+            _, one = np.unique(comp[hit], return_index=True)  # a link to each component is enough
+            out += [(rep[r], rep[h]) for h in hit[one]]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    block = ["key", "i", "j"]
+    sketched = dealt.join(classes.select("rep", "sketch"), "rep")
+    open_rows = written(sketched.groupBy(*block).applyInArrow(likely, "key long, i int, j int, rep long"), "open")
+    if open_rows.isEmpty():
+        return found
+    texts = _texts(open_rows.select(F.col("rep").alias("doc_id")).distinct(), docs)
+    full = dealt.join(open_rows, [*block, "rep"]).join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    late = full.groupBy(*block).applyInArrow(linked, "a long, b long")
+    return written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late)), "components")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 28, band_permutations: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     docs = only(docs, doc_id=id_col, text=text_col)
@@ -168,26 +253,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     full = sig.where(F.col("digest").isNotNull())
     classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     rows = classes.select("rep", "n", F.explode("bands").alias("key"))
-    # one row a bucket; min and count meet before the shuffle
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rep", "n")).alias("least")).where(F.col("m") > 1)
-    shared = written(rows.join(buckets, "key"), "buckets")
+    # one row a bucket; counts and pivots meet before the shuffle
+    crowds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
+    crowded = written(rows.join(crowds, "key"), "crowds")
+    # of a bucket the class that meets others most, as the text that others were made from does
+    central = crowded.groupBy("rep").agg(F.sum("m").alias("met"))
+    met = written(crowded.join(central, "rep").select("key", "rep", "n", "m", (-F.col("met")).alias("order")), "met")
+    pivots = met.groupBy("key").agg(F.min(F.struct("order", "rep", "n")).alias("least"))
+    shared = written(met.drop("order").join(pivots, "key"), "buckets")
     first = shared.where(F.col("rep") != F.col("least.rep")).select(F.col("rep").alias("a"), F.col("least.rep").alias("b"), F.col("n").alias("n_a"), F.col("least.n").alias("n_b")).where(_sizes_allow(percent)).select("a", "b").distinct()
     tested = written(_likely(first, classes, percent), "pairs")
-    links = written(_linked(tested, docs, size, percent), "links")
-    found = written(components(links), "components")
-
-    # buckets that span components: the pairs across them, but those against the smallest class
-    placed = shared.where(F.col("m") > 2).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"), F.col("least.rep").alias("pivot"))
-    span = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    open_rows = placed.where(F.col("rep") != F.col("pivot")).join(span, "key")
-    x = open_rows.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    y = open_rows.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    across = x.join(y, "key").where((F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & _sizes_allow(percent)).select("a", "b").distinct()
-    more = written(_likely(across, classes, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        late = _linked(more, docs, size, percent)
-        found = written(components(links.unionByName(late)), "components")
+    found = written(components(_linked(tested, docs, size, percent)), "components")
 
+    found = _across(shared, found, classes, docs, size, percent)
     of_class = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
