@@ -151,7 +151,9 @@ def score(docs: DataFrame, model: Model, held_out: int = 0, modulus: int = 5, th
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The documents, all columns, whose score reaches the threshold."""
+    """The documents, all columns, whose score reaches the threshold; a model without training documents rejects none."""
+    if not len(model.knots):
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -296,6 +296,7 @@ def test_quality_model(spark, docs):
     assert sum(got[i]["predicted"] == truth[i] for i in held) >= 0.97 * len(held)
     assert all(0 <= r["score"] <= 1 for r in by_id(quality_model.score(docs, model)).values())
     assert all(r["score"] == 0 for r in by_id(quality_model.score(docs, quality_model.fit(train, labels.limit(0)))).values())
+    assert quality_model.reject(docs, quality_model.fit(train, labels.limit(0))).count() == docs.count()
     knots, values = quality_model.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert (np.diff(values) >= 0).all() and values.tolist() == [0, 0, 0.5, 0.5, 1, 1]
 
