@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import struct
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from mnemora.llm.words import PieceCache
 
@@ -23,7 +23,6 @@ def _byte_letters() -> dict[int, int]:
 
 class LibraryEncoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
         with open(path) as f:
@@ -31,13 +30,20 @@ class LibraryEncoder:
         pre, model = spec["pre_tokenizer"] or {}, spec["model"]
         if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec["normalizer"] or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError(f"{path}: not a plain byte-level BPE tokenizer")
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.model = BPE(model["vocab"], merges, cache_capacity=0)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.letters = _byte_letters()
         self.cache = PieceCache(self._pieces)
 
+    @cached_property
+    def tokenizer(self):
+        """The library's whole tokenizer, which workers don't need."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _pieces(self, pieces: list[bytes]) -> list[bytes]:
         tokenize, letters, pack = self.model.tokenize, self.letters, struct.pack
         out = []

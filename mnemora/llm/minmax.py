@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.llm.components import components
-from mnemora.llm.runtime import only, row_blocks, written
+from mnemora.llm.runtime import give_back, only, row_blocks, written
 
 WORDS_AT_ONCE = 1 << 14
+#: Pairs whose two texts a worker holds as strings at a time.
+PAIRS_AT_ONCE = 128
 SIGNATURES = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
 #: So many ids may be broadcast (16 bytes each in Spark's table of longs); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -150,7 +152,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
                 held[i] = shingles(text, size)
             return held[i]
 
-        for rows in batches:
+        give_back()
+        for rows in (b.slice(i, PAIRS_AT_ONCE) for b in batches for i in range(0, len(b), PAIRS_AT_ONCE)):
             keep = []
             for a, b, x, y in zip(*[rows.column(c).to_pylist() for c in ("a", "b", "t_a", "t_b")], strict=True):
                 p, q = of(a, x), of(b, y)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 TOKENIZERS = os.environ.get("MNEMORA_TOKENIZERS", "/opt/tokenizers")
 #: Characters that a Python worker handles at a time; longer texts go through in segments.
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 500_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -74,11 +75,20 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def give_back() -> None:
+    """Returns what a reused worker still holds from earlier tasks to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def row_blocks(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with about `chars` bytes of text each, and their texts (null: empty)."""
     import numpy as np
     import pyarrow.compute as pc
 
+    give_back()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)

@@ -14,7 +14,7 @@ class PieceCache:
     Holds at most `limit` pieces; when full it starts anew, which costs time but changes no result.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[bytes]], list[bytes]], limit: int = 600_000):
+    def __init__(self, encode_pieces: Callable[[list[bytes]], list[bytes]], limit: int = 300_000):
         self.encode_pieces, self.limit, self.known = encode_pieces, limit, {}
 
     def of(self, pieces: list[bytes]) -> list[bytes]:
