@@ -22,7 +22,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 class LibraryEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = 600_000):
         from tokenizers.models import BPE
 
         with open(path) as f:
@@ -35,7 +35,7 @@ class LibraryEncoder:
         self.model = BPE(model["vocab"], merges, cache_capacity=0)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.letters = _byte_letters()
-        self.cache = PieceCache(self._pieces)
+        self.cache = PieceCache(self._pieces, pieces)
 
     @cached_property
     def tokenizer(self):
@@ -85,5 +85,6 @@ class LibraryEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+def encoder(path: str, pieces: int = 600_000) -> LibraryEncoder:
+    """A worker's encoder, whose cache holds at most so many pieces."""
+    return LibraryEncoder(path, pieces)

@@ -134,7 +134,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_co
     """A row for each piece, with its rank among the pieces of its length in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = encoder(tokenizer)
+        lib = encoder(tokenizer, pieces=300_000)  # workers may hold other stages' memory too
         end = np.array([end_id], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for rows, texts in row_blocks(batches):
