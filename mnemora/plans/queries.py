@@ -145,6 +145,31 @@ def recall_at_k(spark, sf_dir):
     return V.recall_at(V.nearest(q, exp, 10), R.batch_top(exp, q, 10), "query_id", 10).select("query_id", "recall")
 
 
+def _batch(exp: DataFrame) -> DataFrame:
+    """The stated batch of query vectors: every id divisible by 20."""
+    return exp.where("id % 20 = 0").select(F.col("id").alias("query_id"), "collective_id", "embedding")
+
+
+def _batch_sql(k: int, more: str = "") -> str:
+    return f"""SELECT query_id, id, round(similarity, 6) AS similarity, rank{more} FROM (SELECT a.id AS query_id, b.id, list_cosine_similarity(b.embedding, a.embedding) AS similarity,
+      row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(b.embedding, a.embedding) DESC, b.id) AS rank FROM exp a JOIN exp b ON a.collective_id = b.collective_id WHERE a.id % 20 = 0) WHERE rank <= {k}"""
+
+
+@query(_batch_sql(5))
+def search_batch_stated(spark, sf_dir):
+    exp = A.experiences(spark, sf_dir)
+    return V.nearest(_batch(exp), exp, 5).select("query_id", "id", r6("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_batch_sql(10, ", (count(*) OVER (PARTITION BY query_id)) / 10.0::DOUBLE AS recall"))
+def recall_neighbours(spark, sf_dir):
+    """The neighbours found, and the share of the true ones among them: the SQL computes the neighbours too."""
+    exp = A.experiences(spark, sf_dir)
+    found = V.nearest(_batch(exp), exp, 10)
+    share = V.recall_at(found, R.batch_top(exp, _batch(exp), 10), "query_id", 10)
+    return found.join(share, "query_id").select("query_id", "id", r6("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"), "recall")
+
+
 @query("SELECT quantile_disc(round(similarity, 6), 0.5) AS p50, quantile_disc(round(similarity, 6), 0.95) AS p95, quantile_disc(round(similarity, 6), 0.99) AS p99 FROM sim")
 def percentiles(spark, sf_dir):
     exp = A.experiences(spark, sf_dir)

@@ -33,6 +33,12 @@ def test_matches_sql(spark, duck, name):
     assert table(df.columns, df.collect()) == table(rel.columns, rel.fetchall())
 
 
+def test_every_stated_query_is_searched(spark):
+    stated = set(range(0, 500, 20))
+    for name in ("search_batch_stated", "recall_neighbours"):
+        assert {r["query_id"] for r in core.queries()[name](spark, SF).collect()} == stated
+
+
 def test_rows_only(spark):
     assert core.queries()["watch_stream"](spark, SF).count() == 5
     assert core.queries()["embed_udf"](spark, SF).count() == 200
