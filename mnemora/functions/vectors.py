@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 #: Query batches up to this many numbers are broadcast; larger ones are joined by collective.
 BROADCAST_NUMBERS = 4_000_000
+#: More than two computations of one cosine differ by.
+ROUNDING = 1e-9
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,12 +44,19 @@ def top_per(df: DataFrame, by: list[str], k: int, *order: Column, rank: str = "r
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def _summed(x: np.ndarray) -> np.ndarray:
+    """Sums of the rows from left to right, as `dot` has them, whatever rows stand beside."""
+    return np.add.accumulate(x, axis=1)[:, -1]
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """query_id, id, similarity, rank: the k rows of each query's collective most like it.
 
     queries: query_id, collective_id, embedding; rows: id, collective_id, embedding.
-    A batch of bounded size is broadcast and each Arrow batch gives its own top k
-    by one matrix product; a larger one is an equi-join on the collective.
+    A batch of bounded size is broadcast; in each Arrow batch one matrix product
+    rules out what is less like a query than the k-th by more than rounding, the
+    rest is computed again in the order of `similarity` and ranked by it and id.
+    A larger one is an equi-join on the collective.
     """
     width = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     if width[0] * (width[1] or 0) > BROADCAST_NUMBERS:
@@ -67,9 +76,21 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                     qid, q = own[c]
                     at = np.flatnonzero(coll == c)
                     x = np.array([vectors[i] for i in at], float)
-                    sim = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
-                    near = np.argsort(-sim, axis=1, kind="stable")[:, : k + 8] if len(at) > k + 8 else np.tile(np.arange(len(at)), (len(qid), 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, near.shape[1])), pa.array(ids[at][near.ravel()].tolist()), pa.array(np.take_along_axis(sim, near, 1).ravel())], names=["query_id", "id", "similarity"])
+                    own_norm, norms = np.sqrt(_summed(q * q)), np.sqrt(_summed(x * x))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        rough = np.nan_to_num((q @ x.T) / (own_norm[:, None] * norms[None, :]), nan=-np.inf)  # a zero vector has none
+                    by_id = np.empty(len(at), np.int64)
+                    by_id[sorted(range(len(at)), key=ids[at].__getitem__)] = np.arange(len(at))
+                    least = np.partition(rough, len(at) - k, axis=1)[:, len(at) - k] if len(at) > k else np.full(len(q), -np.inf)
+                    out: list[tuple] = []
+                    for i in range(len(q)):
+                        near = np.flatnonzero(rough[i] >= least[i] - ROUNDING)
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            sim = _summed(x[near] * q[i]) / (norms[near] * own_norm[i])
+                        first = np.lexsort((by_id[near], -np.nan_to_num(sim, nan=-np.inf)))[:k]
+                        out.append((np.repeat(qid[i], len(first)), near[first], sim[first]))
+                    which, near, sim = map(np.concatenate, zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(ids[at][near].tolist()), pa.array(sim, mask=np.isnan(sim))], names=["query_id", "id", "similarity"])
 
         kinds = dict(queries.dtypes) | {"id": dict(rows.dtypes)["id"]}
         scored = rows.select("id", "collective_id", "embedding").mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double")

@@ -215,6 +215,17 @@ def test_nearest_agrees_with_join(spark):
     assert len(lsh & exact) >= 0.95 * len(exact)
 
 
+def test_nearest_breaks_ties_by_id(spark):
+    x = [0.1, 0.7, 0.3]
+    copies = [(i, 1, x) for i in range(200, 0, -1)] + [(0, 1, [0.0, 0.0, 0.0]), (201, 1, [1.0, 0.0, 0.0])]
+    rows = spark.createDataFrame(copies, "id long, collective_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(7, 1, x), (8, 1, [0.0, 0.0, 0.0])], "query_id long, collective_id long, embedding array<double>")
+    table = lambda df: sorted((r["query_id"], r["rank"], r["id"], r["similarity"]) for r in df.collect())
+    got = table(vectors.nearest(q, rows, 5))
+    assert [r[2] for r in got] == [1, 2, 3, 4, 5, 0, 1, 2, 3, 4]
+    assert got == table(recall.batch_top(rows, q, 5))
+
+
 def test_nulls_and_latest(spark):
     df = spark.createDataFrame([(1, [None, "a"]), (2, None), (3, ["b"])], "id int, domain array<string>")
     assert ids(df.where(overlap(F.col("domain"), ["b"]))) == [3]
