@@ -4,14 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mnemora.functions.scoring import merge_counters
 
+#: Sequence numbers a range holds when a log is numbered; they are unique, so no task gets more rows at once.
+RANGE_NUMBERS = 65_536
+
 
 def scan(log: DataFrame, since: int, limit: int) -> DataFrame:
     return log.where(F.col("seq") > since).orderBy("seq").limit(limit)
 
 
+def numbered(log: DataFrame, place: str = "place") -> DataFrame:
+    """The whole log in order of seq with each row's place from 1: places within ranges of seq, after the counts of the ranges before."""
+    dealt = log.withColumn("_range", F.floor(F.col("seq") / RANGE_NUMBERS))
+    # one row a range
+    sums = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sums.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("seq"))
+    return dealt.withColumn(place, own).join(F.broadcast(before), "_range").withColumn(place, F.col(place) + F.col("_before")).drop("_range", "_before").orderBy("seq")
+
+
 def poll(log: DataFrame, since: int, limit: int = 1000) -> DataFrame:
     """Experience events among the next `limit` rows: the limit comes first."""
     return scan(log, since, limit).where(F.col("entity_type") == "Experience")

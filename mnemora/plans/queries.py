@@ -575,6 +575,11 @@ def log_order(spark, sf_dir):
     return V.top_per(page, ["all"], 100, F.asc("seq"), rank="place").select("seq", F.col("place").cast("long").alias("place"))
 
 
+@query("SELECT seq, row_number() OVER (ORDER BY seq) AS place FROM log ORDER BY seq")
+def log_order_whole(spark, sf_dir):
+    return L.numbered(A.change_log(spark, sf_dir)).select("seq", "place")
+
+
 @query("SELECT entity_id, arg_max(event_type, seq) AS event_type, max(seq) AS seq FROM log GROUP BY 1 HAVING arg_max(event_type, seq) <> 'Deleted'")
 def current_state(spark, sf_dir):
     return L.current(A.change_log(spark, sf_dir).withColumn("o", F.col("seq")), ["entity_id"], "o").select("entity_id", "event_type", "seq")

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from mnemora.operators import log as L
 from mnemora.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +40,14 @@ def test_every_stated_query_is_searched(spark):
         assert {r["query_id"] for r in core.queries()[name](spark, SF).collect()} == stated
 
 
+def test_whole_log_in_order(spark, monkeypatch):
+    monkeypatch.setattr("mnemora.operators.log.RANGE_NUMBERS", 64)
+    rows = core.queries()["log_order_whole"](spark, SF).collect()
+    assert [(r["seq"], r["place"]) for r in rows] == [(i, i) for i in range(1, 1001)]
+    gaps = spark.createDataFrame([(i * i,) for i in range(300, 0, -1)], "seq long")
+    assert [(r["seq"], r["place"]) for r in L.numbered(gaps).collect()] == [(i * i, i) for i in range(1, 301)]
+
+
 def test_rows_only(spark):
     assert core.queries()["watch_stream"](spark, SF).count() == 5
     assert core.queries()["embed_udf"](spark, SF).count() == 200
