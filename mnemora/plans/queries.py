@@ -496,6 +496,14 @@ def distinct_relations(spark, sf_dir):
     return graph.touching(A.all_edges(spark, sf_dir), A.experiences(spark, sf_dir).where("id < 250").select("id")).select("id")
 
 
+_LIVE = "(SELECT id FROM exp WHERE NOT archived)"
+
+
+@query(f"SELECT DISTINCT id FROM (SELECT id FROM edges WHERE source_id IN {_LIVE} UNION ALL SELECT id FROM edges WHERE target_id IN {_LIVE})")
+def distinct_relations_live(spark, sf_dir):
+    return graph.touching(A.all_edges(spark, sf_dir), A.experiences(spark, sf_dir).where(~F.col("archived")).select("id")).select("id")
+
+
 @query("SELECT i.id AS insight_id, s AS source_id, CASE WHEN e.id IS NULL THEN 'missing' ELSE 'foreign' END AS reason FROM (SELECT id, collective_id, unnest([id, id + 1, id + 1000000]) AS s FROM ins) i LEFT JOIN exp e ON e.id = s WHERE e.id IS NULL OR e.collective_id <> i.collective_id")
 def insight_source_violations(spark, sf_dir):
     i = F.col("id")

@@ -48,6 +48,11 @@ def test_whole_log_in_order(spark, monkeypatch):
     assert [(r["seq"], r["place"]) for r in L.numbered(gaps).collect()] == [(i * i, i) for i in range(1, 301)]
 
 
+def test_relations_of_late_experiences(spark):
+    got = {r["id"] for r in core.queries()["distinct_relations_live"](spark, SF).collect()}
+    assert got == {i for i in range(500) if i % 11 or (i * 7 + 3) % 500 % 11} and 406 in got
+
+
 def test_rows_only(spark):
     assert core.queries()["watch_stream"](spark, SF).count() == 5
     assert core.queries()["embed_udf"](spark, SF).count() == 200
