@@ -79,13 +79,13 @@ def _moments(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in row_blocks(batches):
             x = [list(statistics(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label").cast(pa.float64()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label").cast(pa.float64()), rows.column("weight"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "weight", "x"])
 
-    return sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label double, x array<double>")
+    return sample.select("doc_id", "label", "weight", "text").mapInArrow(run, "doc_id long, label double, weight double, x array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: int = 0, modulus: int = 5, per_class: int = 8000, size: int = 256, bandwidth: float = 4.0, ridge: float = 1e-3, seed: int = 7, tasks: int = 8) -> Model:
-    """A model from at most per_class training documents of each class."""
+    """A model from at most per_class training documents of each class, weighted to the classes' own shares."""
     from mnemora.llm.runtime import written
 
     sample = labelled_sample(docs, labels, label, held_out, modulus, {0: per_class, 1: per_class}, keep_text=False)
@@ -93,10 +93,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: in
     d = len(STATISTICS)
     rng = np.random.default_rng(seed)
     omega, phase = rng.normal(0, 1 / bandwidth, (d, size)), rng.uniform(0, 2 * np.pi, size)
-    row = points.agg(*[f(F.col("x")[i]).alias(f"{n}{i}") for i in range(d) for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.count(F.lit(1)).alias("n")).first()
-    if not row["n"]:
+    rows = points.groupBy("label", "weight").agg(*[f(F.col("x")[i]).alias(f"{n}{i}") for i in range(d) for n, f in (("m", F.avg), ("s", F.var_pop))], F.count(F.lit(1)).alias("n")).collect()  # a row a class
+    if not rows:
         return Model(np.zeros(d), np.ones(d), omega, phase, np.zeros(size + d + 1), np.zeros(0), np.zeros(0))
-    model = Model(np.array([row[f"m{i}"] for i in range(d)]), np.array([row[f"s{i}"] or 1.0 for i in range(d)]), omega, phase, np.zeros(size + d + 1), np.zeros(0), np.zeros(0))
+    share = np.array([r["weight"] * r["n"] for r in rows])
+    share /= share.sum()
+    means, spreads = (np.array([[r[f"{n}{i}"] for i in range(d)] for r in rows]) for n in "ms")
+    mean = share @ means
+    scale = np.sqrt(share @ (spreads + (means - mean) ** 2))
+    model = Model(mean, np.where(scale > 0, scale, 1.0), omega, phase, np.zeros(size + d + 1), np.zeros(0), np.zeros(0))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,30 +109,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: in
         a, b = np.zeros((n, n)), np.zeros(n)
         for rows in batches:
             z = model.features(np.array(rows.column("x").to_pylist()).reshape(-1, d))
-            a += z.T @ z
-            b += z.T @ rows.column("label").to_numpy()
+            w = z * rows.column("weight").to_numpy()[:, None]
+            a += w.T @ z
+            b += w.T @ rows.column("label").to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], names=["a", "b"])
 
     # `tasks` matrices of a fixed size
-    parts = points.where(fold != 0).select("label", "x").repartition(tasks).mapInArrow(sums, "a binary, b binary").collect()
+    parts = points.where(fold != 0).select("label", "weight", "x").repartition(tasks).mapInArrow(sums, "a binary, b binary").collect()
     n = size + d + 1
     a = sum(np.frombuffer(p["a"]).reshape(n, n) for p in parts)
     b = sum(np.frombuffer(p["b"]) for p in parts)
     model.beta = np.linalg.solve(a + ridge * max(1.0, a[-1, -1]) * np.eye(n), b)
-    rest = points.where(fold == 0).select("label", "x").toPandas()
+    rest = points.where(fold == 0).select("label", "weight", "x").toPandas()
     if not len(rest):
-        rest = points.select("label", "x").toPandas()
+        rest = points.select("label", "weight", "x").toPandas()
     margin = model.features(np.array(rest["x"].tolist()).reshape(-1, d)) @ model.beta
-    model.knots, model.values = isotonic(margin, rest["label"].to_numpy())
+    model.knots, model.values = isotonic(margin, rest["label"].to_numpy(), rest["weight"].to_numpy())
     return model
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Knots and values of the rising step function nearest to y, by pooling adjacent violators."""
     order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []  # sum, count, first x, last x
-    for at, value in zip(x[order], y[order], strict=True):
-        pools.append([value, 1, at, at])
+    pools: list[list[float]] = []  # sum, weight, first x, last x
+    weight = np.ones(len(x)) if weight is None else weight
+    for at, value, w in zip(x[order], y[order], weight[order], strict=True):
+        pools.append([value * w, w, at, at])
         while len(pools) > 1 and (pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1] or pools[-2][3] == pools[-1][2]):
             s, c, _, last = pools.pop()
             pools[-1][0] += s

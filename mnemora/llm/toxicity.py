@@ -147,10 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int
 
     def densities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in row_blocks(batches):
-            yield pa.RecordBatch.from_arrays([rows.column("label").cast(pa.int32()), pa.array([lexicon.density(t) for t in texts], pa.float64())], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([rows.column("label").cast(pa.int32()), rows.column("weight"), pa.array([lexicon.density(t) for t in texts], pa.float64())], names=["label", "weight", "x"])
 
-    points = sample.select("label", "text").mapInArrow(densities, "label int, x double").toPandas()
-    lexicon.bias, lexicon.slope = logistic(points["x"].to_numpy(), points["label"].to_numpy())
+    points = sample.select("label", "weight", "text").mapInArrow(densities, "label int, weight double, x double").toPandas()
+    lexicon.bias, lexicon.slope = logistic(points["x"].to_numpy(), points["label"].to_numpy(), points["weight"].to_numpy())
     return lexicon
 
 
@@ -177,14 +177,15 @@ def cover(items: list[list[str]], weight: dict[str, float], least: int) -> list[
     return chosen
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 60) -> tuple[float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-4, steps: int = 60) -> tuple[float, float]:
     """Bias and slope, by Newton steps."""
+    weight = np.ones(len(x)) if weight is None else weight
     z = np.stack([np.ones(len(x)), x], 1)
     w = np.zeros(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = z.T @ (z * (p * (1 - p))[:, None]) + ridge * np.eye(2)
-        w += np.clip(np.linalg.solve(h, z.T @ (y - p) - ridge * w), -5, 5)
+        h = z.T @ (z * (weight * p * (1 - p))[:, None]) + ridge * np.eye(2)
+        w += np.clip(np.linalg.solve(h, z.T @ (weight * (y - p)) - ridge * w), -5, 5)
     return float(w[0]), float(w[1])
 
 

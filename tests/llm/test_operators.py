@@ -10,6 +10,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mnemora.llm import bpe, forest, langid, minmax, packing, pretok, quality_model, quality_rules, token_counts, token_store, toxicity
 from mnemora.llm.components import Forest, components
@@ -301,6 +302,19 @@ def test_quality_model(spark, docs):
     assert (np.diff(values) >= 0).all() and values.tolist() == [0, 0, 0.5, 0.5, 1, 1]
 
 
+def test_bounded_classes_keep_their_shares(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(rng.randint(5, 40))), int(rng.random() < 0.86)) for i in range(1200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    docs, labels = frame.select("doc_id", "text"), frame.select("doc_id", F.col("label").alias("quality"), (1 - F.col("label")).alias("toxic"))
+    scores = [r["score"] for r in quality_model.score(docs, quality_model.fit(docs, labels, per_class=100)).collect()]
+    assert abs(np.mean(scores) - 0.86) < 0.1  # labels don't hang on the texts
+    lexicon = toxicity.fit(docs, labels, positives=100, negatives=100)
+    assert abs(np.mean([r["score"] for r in toxicity.score(docs, lexicon).collect()]) - 0.14) < 0.1
+    x, y = np.zeros(4), np.array([1.0, 1, 0, 0])
+    assert quality_model.isotonic(x, y, np.array([3.0, 3, 1, 1]))[1].tolist() == [0.75, 0.75]
+
+
 def test_language(spark, docs, texts):
     rng = random.Random(8)
     words = {"en": ["the", "house", "with", "thing"], "de": ["über", "straße", "nicht", "schön"], "fr": ["être", "château", "où", "ça"]}
