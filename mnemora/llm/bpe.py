@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mnemora.llm.runtime import only, row_blocks
-from mnemora.llm.words import PieceCache
+from mnemora.llm.words import PieceCache, slices
 
 #: From this many bytes on, a piece is merged with a heap.
 LONG_PIECE = 96
@@ -112,6 +112,14 @@ class ByteBPE:
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
+    def decode_flat(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes of each text, from all texts' ids one after another."""
+        ends = np.cumsum(sizes)
+        bytes_before = np.concatenate([[0], np.cumsum(self.lengths.take(ids))])
+        at = bytes_before[np.concatenate([[0], ends])].tolist()
+        raw = self.decode(ids)
+        return [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
+
     def decode_range(self, ids: np.ndarray, offsets: np.ndarray, start: int, stop: int) -> bytes:
         """The bytes from start to stop, from the tokens that cover them."""
         i = max(0, int(np.searchsorted(offsets, start, "right")) - 1)
@@ -131,10 +139,12 @@ def encode_documents(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks)
         for rows, texts in row_blocks(batches):
-            ids = [np.frombuffer(x, "<u4") for x in own.encode(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([own.offsets(x).astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids", "offsets"]
-            )
+            ids, sizes = own.cache.encode_flat(texts)
+            ends = np.cumsum(sizes)
+            bytes_before = np.concatenate([[0], np.cumsum(own.lengths.take(ids))])
+            offsets = bytes_before[:-1] - np.repeat(bytes_before[ends - sizes], sizes)
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, offsets)]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *lists], names=["doc_id", "ids", "offsets"])
 
     return only(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>")
 
@@ -157,8 +167,8 @@ def roundtrip_digests(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks)
         for rows, texts in row_blocks(batches):
-            ids = own.encode(texts)
-            back = [own.decode(np.frombuffer(x, "<u4")) for x in ids]
+            flat, sizes = own.cache.encode_flat(texts)
+            ids, back = slices(flat, sizes), own.decode_flat(flat, sizes)
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"),

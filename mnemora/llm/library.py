@@ -8,10 +8,13 @@ model once, and a text's ids are its pieces' ids, one after another.
 from __future__ import annotations
 
 import json
+import re
 import struct
 from functools import cached_property, lru_cache
 
-from mnemora.llm.words import PieceCache
+import numpy as np
+
+from mnemora.llm.words import PieceCache, slices
 
 
 def _byte_letters() -> dict[int, int]:
@@ -22,7 +25,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 class LibraryEncoder:
-    def __init__(self, path: str, pieces: int = 600_000):
+    def __init__(self, path: str, pieces: int = 1_000_000):
         from tokenizers.models import BPE
 
         with open(path) as f:
@@ -34,6 +37,8 @@ class LibraryEncoder:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.model = BPE(model["vocab"], merges, cache_capacity=0)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # the leftmost special token counts, and the longest of those at one place
+        self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.letters = _byte_letters()
         self.cache = PieceCache(self._pieces, pieces)
 
@@ -46,45 +51,38 @@ class LibraryEncoder:
 
     def _pieces(self, pieces: list[bytes]) -> list[bytes]:
         tokenize, letters, pack = self.model.tokenize, self.letters, struct.pack
-        out = []
-        for p in pieces:
-            got = tokenize(p.decode("latin-1").translate(letters))
-            out.append(pack(f"<{len(got)}I", *[t.id for t in got]))
-        return out
+        got = ([t.id for t in tokenize(p.decode("latin-1").translate(letters))] for p in pieces)
+        return [pack(f"<{len(ids)}I", *ids) for ids in got]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        odd = {k: t for k, t in enumerate(texts) if any(s in t for s in self.special)}
-        if not odd:
-            return self.cache.encode(texts)
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, one after another, and how many each text has."""
+        if not self.at_special or not any(map(self.at_special.search, texts)):
+            return self.cache.encode_flat(texts)
         parts: list[str] = []
-        plan: list[list[int | bytes]] = []
+        owner: list[int] = []
+        after: list[int] = []  # the special token behind each part, or -1
         for k, text in enumerate(texts):
-            row: list[int | bytes] = []
-            for x in self._at_specials(text) if k in odd else [text]:
-                if isinstance(x, bytes):
-                    row.append(x)
-                else:
-                    row.append(len(parts))
-                    parts.append(x)
-            plan.append(row)
-        ids = self.cache.encode(parts)
-        return [b"".join(x if isinstance(x, bytes) else ids[x] for x in row) for row in plan]
-
-    def _at_specials(self, text: str) -> list[str | bytes]:
-        """Stretches between special tokens, and those tokens' ids; the leftmost and then the longest one counts."""
-        out: list[str | bytes] = []
-        at = 0
-        while True:
-            found = [(i, -len(s), s) for s in self.special if (i := text.find(s, at)) >= 0]
-            if not found:
-                return [*out, text[at:]]
-            i, _, s = min(found)
-            out += [text[at:i], struct.pack("<I", self.special[s])]
-            at = i + len(s)
+            at = 0
+            for m in self.at_special.finditer(text):
+                parts.append(text[at : m.start()])
+                after.append(self.special[m[0]])
+                at = m.end()
+                owner.append(k)
+            parts.append(text[at:])
+            after.append(-1)
+            owner.append(k)
+        ids, sizes = self.cache.encode_flat(parts)
+        behind = np.array(after)
+        put = np.flatnonzero(behind >= 0)
+        ids = np.insert(ids, np.cumsum(sizes)[put], behind[put].astype(np.uint32))
+        return ids, np.bincount(owner, sizes + (behind >= 0), len(texts)).astype(np.int64)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        return slices(*self.encode_flat(texts))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pieces: int = 600_000) -> LibraryEncoder:
+def encoder(path: str, pieces: int = 1_000_000) -> LibraryEncoder:
     """A worker's encoder, whose cache holds at most so many pieces."""
     return LibraryEncoder(path, pieces)

@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 
 from mnemora.llm.library import encoder
 from mnemora.llm.runtime import only, row_blocks, written
+from mnemora.llm.words import with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 
@@ -122,29 +123,41 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[i
     return bins.plan, bins.next
 
 
-def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
-    """(start, length, crc32) of a document's pieces; the first holds the remainder."""
-    n = len(ids) // 4
-    head = (n - 1) % capacity + 1
-    edges = [0, *range(head, n + 1, capacity)]
-    return [(i, j - i, zlib.crc32(ids[4 * i : 4 * j])) for i, j in zip(edges, edges[1:], strict=False)]
+def cut(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """document, number, start and length of the pieces of documents of these sizes (1 at least); the first holds the remainder."""
+    n = -(-sizes // capacity)
+    doc = np.repeat(np.arange(len(sizes)), n)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    head = (sizes - (n - 1) * capacity)[doc]
+    return doc, piece, np.where(piece == 0, 0, head + (piece - 1) * capacity), np.where(piece == 0, head, capacity)
+
+
+def _ranks(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Each piece's place among those of its length; seen counts those before and goes on."""
+    order = np.argsort(lengths, kind="stable")
+    own = lengths[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    n = np.diff(np.append(first, len(own)))
+    out = np.empty(len(own), np.int64)
+    out[order] = np.arange(len(own)) - np.repeat(first, n) + seen[own]
+    seen[own[first]] += n
+    return out
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece, with its rank among the pieces of its length in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = encoder(tokenizer, pieces=300_000)  # workers may hold other stages' memory too
-        end = np.array([end_id], "<u4").tobytes()
+        lib = encoder(tokenizer)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for rows, texts in row_blocks(batches):
-            out: list[tuple] = []
-            for doc, ids in zip(rows.column("doc_id").to_pylist(), lib.encode(texts), strict=True):
-                for k, (start, length, crc) in enumerate(cut(ids + end, capacity)):
-                    out.append((doc, k, start, length, crc, part, int(seen[length])))
-                    seen[length] += 1
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"])
+            ids, sizes = with_end(*lib.encode_flat(texts), end_id)
+            doc, piece, start, length = cut(sizes, capacity)
+            raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+            edges = np.concatenate([[0], np.cumsum(length)]).tolist()
+            sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edges, edges[1:], strict=False)]
+            columns = [rows.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(np.full(len(doc), part, np.int32)), pa.array(_ranks(length, seen))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"])
 
     return only(docs, doc_id=id_col, text=text_col).mapInArrow(run, PIECES)
 

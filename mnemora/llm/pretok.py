@@ -142,11 +142,11 @@ def starts(codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return ~goes_on.ravel().take(previous.astype(np.int32) * (2 * SYMBOLS) + symbol)
 
 
-def split(texts: list[str]) -> tuple[list[bytes], list[int]]:
-    """The pieces of all texts as bytes, and where in that list each text's pieces start (with the end)."""
+def boundaries(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All texts' bytes, the pieces' edges in them (with the end), and which edge each text starts at (with the end)."""
     joined = "".join(texts)
     if not joined:
-        return [], [0] * (len(texts) + 1)
+        return b"", np.zeros(1, np.int64), np.zeros(len(texts) + 1, np.int64)
     raw = joined.encode()
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
@@ -162,28 +162,45 @@ def split(texts: list[str]) -> tuple[list[bytes], list[int]]:
         place = np.cumsum(width, dtype=np.int64)
         place -= width
         at = place[at]
-    i = at.tolist()
-    j = i[1:]
-    j.append(len(raw))
-    return [raw[a:b] for a, b in zip(i, j, strict=True)], [0, *bounds.tolist()]
+    return raw, np.append(at, len(raw)), np.concatenate([[0], bounds])
+
+
+def split(texts: list[str]) -> tuple[list[bytes], list[int]]:
+    """The pieces of all texts as bytes, and where in that list each text's pieces start (with the end)."""
+    raw, edges, bounds = boundaries(texts)
+    i = edges.tolist()
+    return [raw[a:b] for a, b in zip(i, i[1:], strict=False)], bounds.tolist()
+
+
+def _cut(text: str, low: int, high: int) -> int:
+    """The last place from low to high where a token starts whatever stands around, or 0.
+
+    Such are a lone space between two other characters, and a change of class without
+    white space that no apostrophe stands before.
+    """
+    codes = np.frombuffer(text[low - 1 : high + 1].encode("utf-32-le"), np.int32)
+    kind = classes().take(codes)
+    white = kind == K_WHITE
+    change = (kind[1:] != kind[:-1]) & ~white[1:] & ~white[:-1] & (codes[:-1] != 0x27)
+    lone = np.zeros(len(change), bool)
+    lone[:-1] = (codes[1:-1] == 0x20) & ~white[:-2] & ~white[2:]
+    at = np.flatnonzero(change | lone)
+    return low + int(at[-1]) if len(at) else 0
 
 
 def segments(text: str, limit: int) -> list[str]:
-    """text cut where a token starts whatever stands around: before a lone space between two other characters."""
-    if len(text) <= limit:
-        return [text]
+    """text cut into stretches of about `limit` where a token starts whatever stands around."""
     out, at = [], 0
     while len(text) - at > limit:
-        i = text.rfind(" ", at + 1, at + limit)
-        while i > at and not (not text[i - 1].isspace() and not text[i + 1].isspace()):
-            i = text.rfind(" ", at + 1, i)
-        if i <= at:  # none in this stretch: the first one after it
-            i = text.find(" ", at + limit)
-            while i >= 0 and not (i + 1 < len(text) and not text[i - 1].isspace() and not text[i + 1].isspace()):
-                i = text.find(" ", i + 1)
-            if i < 0:
+        low, cut = at + limit // 2 + 1, 0
+        while not cut and low < len(text):  # a token longer than the limit is left whole
+            high = min(len(text) - 1, low + max(2, limit // 2 - 1))
+            cut, low = _cut(text, low, high), high
+            if high == len(text) - 1:
                 break
-        out.append(text[at:i])
-        at = i
+        if not cut:
+            break
+        out.append(text[at:cut])
+        at = cut
     out.append(text[at:])
     return out

@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 
 from mnemora.llm.library import encoder
 from mnemora.llm.runtime import new_path, only, row_blocks
+from mnemora.llm.words import with_end
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 ENCODINGS = {"dictionary": {"parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20)}, "delta": {"parquet.enable.dictionary": "false", "parquet.writer.version": "PARQUET_2_0"}}
@@ -35,15 +36,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, enc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         part, total = TaskContext.get().partitionId(), 0
         for rows, texts in row_blocks(batches):
-            ids = [x + end for x in lib.encode(texts)]
-            sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+            ids, sizes = with_end(*lib.encode_flat(texts), end_id)
             ends = np.cumsum(sizes)
             places = np.concatenate([[0], ends]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(places), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(total + ends - sizes), pa.array(sizes), lists], names=["doc_id", "part", "local_start", "n_tokens", "ids"])
+            lists = pa.ListArray.from_arrays(pa.array(places), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(len(sizes), part, np.int32)), pa.array(total + ends - sizes), pa.array(sizes), lists], names=["doc_id", "part", "local_start", "n_tokens", "ids"])
             total += int(ends[-1])
 
     ordered = only(docs, doc_id=id_col, text=text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
