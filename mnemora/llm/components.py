@@ -1,6 +1,6 @@
 """Connected components of link tables, without gathering links anywhere.
 
-Each partition first shrinks its links to a forest.  Then large-star and
+Each Arrow batch of links first shrinks to a forest.  Then large-star and
 small-star rounds alternate until nothing changes; each round is a written table
 in the shared folder, so a lost executor costs at most one round.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,34 +17,30 @@ from pyspark.sql import functions as F
 from mnemora.llm.runtime import written
 
 
-class Forest:
-    """Union-find where the smallest member is the root."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        r = x
-        while up.setdefault(r, r) != r:
-            r = up[r]
-        while up[x] != r:
-            up[x], x = r, up[x]
-        return r
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the sets of a and b, pair by pair; label[x] <= x leads to the smallest member of x's set, and does so in one step after."""
+    while True:
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            return
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    f = Forest()
+    """A spanning forest of each stretch of links: x's smallest known relative, where there is one."""
     for rows in batches:
-        for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), strict=True):
-            f.join(a, b)
-    nodes = [x for x in f.up if f.root(x) != x]
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([f.root(x) for x in nodes], pa.int64())], names=["a", "b"])
+        nodes, place = np.unique(np.concatenate([rows.column("a").to_numpy(), rows.column("b").to_numpy()]), return_inverse=True)
+        label = np.arange(len(nodes))
+        merge_labels(label, place[: len(rows)], place[len(rows) :])
+        some = np.flatnonzero(label != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some], pa.int64()), pa.array(nodes[label[some]], pa.int64())], names=["a", "b"])
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:

@@ -12,15 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZERS = os.environ.get("MNEMORA_TOKENIZERS", "/opt/tokenizers")
 #: Characters that a Python worker handles at a time; longer texts go through in segments.
 BLOCK_CHARS = 500_000
+#: So many rows of a few numbers may be broadcast, once counted.
+BROADCAST_ROWS = 50_000
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def tokenizer_path(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,11 +40,6 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def new_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/mnemora/{tag}-{uuid.uuid4().hex}"
     _written.append((spark, path))
@@ -71,8 +69,22 @@ def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
-    """The named columns alone, renamed as the operator knows them; columns that clash in name elsewhere don't matter."""
-    return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+    """The named columns alone, renamed as the operator knows them.
+
+    Other columns don't matter, not even those whose names differ in case alone: the
+    name in its exact case is meant, or else the only one without regard to case.
+    """
+    picked = []
+    for name, source in columns.items():
+        exact = [i for i, c in enumerate(df.columns) if c == source]
+        near = exact or [i for i, c in enumerate(df.columns) if c.lower() == source.lower()]
+        if len(near) != 1:
+            raise ValueError(f"{source}: {len(near)} columns of that name")
+        picked.append((near[0], name))
+    if len({c.lower() for c in df.columns}) < len(df.columns):  # names that clash can't be told apart by Spark's resolver
+        df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+        return df.select(*[F.col(f"c{i}").alias(name) for i, name in picked])
+    return df.select(*[F.col("`" + df.columns[i].replace("`", "``") + "`").alias(name) for i, name in picked])
 
 
 def give_back() -> None:
@@ -101,12 +113,20 @@ def row_blocks(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int
             at = to
 
 
-def schema_of(ddl: str) -> str:
-    return ddl
-
+def join_hot(left: DataFrame, right: DataFrame, on: str | list[str], n: str, total: int) -> DataFrame:
+    """left joined with the one row of right for its key (inner), where right.n bounds the left rows of a key and these make up `total`.
 
-def arrow_rows(names: list[str], types: list[pa.DataType], columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+    Keys with over a thousandth of all rows, of which there are under a thousand,
+    are broadcast, so that no key fills a task; all others are shuffled.  A right
+    side of up to BROADCAST_ROWS counted rows is broadcast whole.  Both sides
+    should be written tables: they are read twice.
+    """
+    on = [on] if isinstance(on, str) else on
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on)
+    hot = right.where(F.col(n) * 1000 > total)
+    rest = right.where(F.col(n) * 1000 <= total)
+    return left.join(F.broadcast(hot), on).unionByName(left.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest, on))
 
 
 Fn = Callable[[SparkSession, str], DataFrame]
