@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mnemora.llm import bpe, forest, langid, minmax, packing, quality_model, quality_rules, token_counts, token_store, toxicity
-from mnemora.llm.runtime import Fn, tokenizer_path
+from mnemora.llm.runtime import Fn, new_path, tokenizer_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
+    """Counts twice on one cache: the second time all digests are stored, and the rows come from there."""
+    docs, tokenizer, cache = table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), new_path(spark, "token-counts")
+    token_counts.count_tokens(docs, tokenizer, cache)
+    return token_counts.count_tokens(docs, tokenizer, cache, limit=1024)
 
 
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.llm.library import encoder
-from mnemora.llm.runtime import new_path, only, row_blocks
+from mnemora.llm.runtime import BROADCAST_ROWS, join_hot, new_path, only, row_blocks, written
 
 CACHE = "version string, digest binary, n_tokens long"
 
@@ -40,7 +40,7 @@ def tokenizer_version(path: str) -> str:
 
 def _count(path: str, texts: list[str]) -> list[int]:
     if path.endswith(".json"):
-        return [len(x) // 4 for x in encoder(path).encode(texts)]
+        return encoder(path).encode_flat(texts)[1].tolist()
     return [len(x) for x in _pieces(path).encode(texts, num_threads=1)]
 
 
@@ -60,24 +60,35 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     spark = docs.sparkSession
     cache = cache or new_path(spark, "token-counts")
     version = tokenizer_version(tokenizer)
-    rows = only(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    digested = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    texts_of = only(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    rows = written(texts_of.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    total = rows.count()
+    # copies meet before the shuffle
+    asked = written(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), "asked")
 
     def known() -> DataFrame | None:
         try:
-            return spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version)
-        except AnalysisException:  # no cache yet
-            return None
+            return spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).select("digest", "n_tokens")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":  # no cache yet
+                return None
+            raise
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in row_blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(texts), pa.string()), part.column("digest"), pa.array(_count(tokenizer, texts), pa.int64())], names=["version", "digest", "n_tokens"])
 
     stored = known()
-    fresh = digested if stored is None else digested.join(stored.select("digest"), "digest", "left_anti")
-    # copies meet before the shuffle (first() has a partial form), so a text of a third of all rows is one row a task
-    distinct = fresh.groupBy("digest").agg(F.first("text").alias("text"))
-    distinct.mapInArrow(run, CACHE).write.mode("append").parquet(cache)
-    counts = known().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    sized = digested.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sized.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # the join to stored counts takes digests alone; texts move only for misses
+    missing = None if stored is None else written(asked.join(stored, "digest", "left_anti").select("digest"), "misses")
+    if missing is None or not missing.isEmpty():
+        if missing is not None and missing.count() <= BROADCAST_ROWS:
+            texts_of = texts_of.join(F.broadcast(missing), "digest", "left_semi")
+        # first() has a partial form, so a text of a third of all rows is one row a task
+        distinct = texts_of.groupBy("digest").agg(F.first("text").alias("text"))
+        if missing is not None:
+            distinct = distinct.join(missing, "digest", "left_semi")
+        distinct.mapInArrow(run, CACHE).write.mode("append").parquet(cache)
+    # two runs at once may both have added a digest; their counts are equal
+    counts = written(asked.join(known().dropDuplicates(["digest"]), "digest"), "counts")
+    return join_hot(rows, counts, "digest", "copies", total).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
