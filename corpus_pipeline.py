@@ -22,10 +22,18 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, similarity of 0.8 or more."""
-    found = minmax.near_duplicates(docs, size=5, percent=80)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group: five-word shingles, similarity of 0.8 or more; of wholly repeated rows one stays."""
+    found = written(minmax.near_duplicates(docs, size=5, percent=80), "near")
+    key = ["doc_id", "text_hash"]
+    gone = found.where(~F.col("kept")).select(key).distinct()
+    again = written(found.where("kept").groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "repeated")
+    left = docs.withColumn("text_hash", F.xxhash64("text")).join(gone, key, "left_anti")
+    if not again.isEmpty():
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+        marks = again.toDF(*[f"_{k}" for k in key])
+        once = left.join(marks, same, "left_semi").groupBy(key).agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
+        return left.join(marks, same, "left_anti").select(docs.columns).unionByName(once)
+    return left.select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,20 +2,23 @@
 
 A document's set holds its distinct word shingles.  Each permutation gives both
 its minimum and its maximum, so half as many permutations serve a signature.
-Bands of three permutations (six values) send sets to buckets.  Documents of
-equal sets are one class and only its smallest id goes on.
+Bands of three permutations (six values) send sets to buckets; of short sets,
+whose minimum and maximum depend on each other, shorter bands do.  Documents of
+equal sets are one class that goes on as one row with a number of its own.
 
 Buckets never give all their pairs.  First every class is held against its
-bucket's pivot, the class that meets most others; what links there forms components.  Buckets that still
-span several components then give the pairs across components that were not
-compared yet.  A signature that rules out the threshold by six standard
-deviations ends a pair early; all other pairs are compared on full sets.
-
-Defined results: a null text, or one without a word, has an empty set, links
-with nothing and is kept; fewer words than a shingle make one shingle; equal sets
-are one component; the kept one is the smallest doc_id; repeated doc_ids count as
-one document with several rows; an empty table gives an empty result; other
-columns are not read.
+bucket's pivot, the class that meets most others; what links there forms
+components.  Buckets that still span several components then give the pairs
+across components that were not compared yet.  A signature that rules out the
+threshold by `deviations` standard deviations ends a pair early (None: no pair;
+pairs with a short set never end so); all other pairs are compared on full sets.
+
+Defined results: a null text, one without a word and one without a doc_id has or
+counts as an empty set, links with nothing and is kept; fewer words than a
+shingle make one shingle; equal sets are one component; the kept one is the
+smallest doc_id; rows of one doc_id with different texts are separate documents,
+told apart by text_hash, and wholly repeated rows are all kept or none; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,14 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.llm.components import components
-from mnemora.llm.runtime import give_back, only, row_blocks, written
+from mnemora.llm.runtime import BROADCAST_ROWS, give_back, join_hot, only, row_blocks, written
 
 WORDS_AT_ONCE = 1 << 14
 #: Pairs whose two texts a worker holds as strings at a time.
 PAIRS_AT_ONCE = 128
-SIGNATURES = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
-#: So many ids may be broadcast (16 bytes each in Spark's table of longs); beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: A pivot's text goes to so many pairs at a time.
+PAIRS_OF_A_PIVOT = 256
+#: Rows and bytes of text in a block of a bucket.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
+#: Sets up to this many shingles have short bands; those a quarter larger have both.
+SHORT_SET = 32
+SIGNATURES = "doc_id long, text_hash long, n_bytes long, n_shingles long, digest binary, bands array<long>, sketch binary"
 _MIX, _FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -80,14 +87,19 @@ class MinMax:
             low, high = (lo, hi) if low is None else (np.minimum(low, lo), np.maximum(high, hi))
         return np.stack([low, high], 1)
 
-    def keys(self, values: np.ndarray) -> np.ndarray:
-        """A bucket of each band."""
-        v = values.reshape(self.bands, self.rows * 2)
-        key = np.arange(1, self.bands + 1, dtype=np.uint64)
+    def _keys(self, values: np.ndarray, rows: int) -> np.ndarray:
+        v = values.reshape(-1, rows * 2)
+        key = np.arange(1, len(v) + 1, dtype=np.uint64) + np.uint64(rows << 32)
         for i in range(v.shape[1]):
             key = _mix(key * _MIX + v[:, i])
         return key.view(np.int64)
 
+    def keys(self, values: np.ndarray, n: int) -> np.ndarray:
+        """The buckets of a set of n shingles."""
+        short, usual = n <= SHORT_SET * 5 // 4, n > SHORT_SET
+        some = len(values) // 2 * 2
+        return np.concatenate([*[self._keys(values[:some], 2)] * short, *[self._keys(values, self.rows)] * usual])
+
     def sketch(self, values: np.ndarray) -> bytes:
         """A byte of each value."""
         return (_mix(values.ravel()) >> np.uint64(56)).astype(np.uint8).tobytes()
@@ -105,41 +117,62 @@ def signatures(docs: DataFrame, size: int, hashing: MinMax, id_col: str = "doc_i
                     continue
                 v = hashing.values(s)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                bands.append(hashing.keys(v))
+                bands.append(hashing.keys(v, len(s)))
                 sketch.append(hashing.sketch(v))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("doc_id", "text_hash", "n_bytes")], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "text_hash", "n_bytes", "n_shingles", "digest", "bands", "sketch"])
 
-    return only(docs, doc_id=id_col, text=text_col).mapInArrow(run, SIGNATURES)
+    rows = only(docs, doc_id=id_col, text=text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    return rows.mapInArrow(run, SIGNATURES)
 
 
 def _sizes_allow(percent: int):
     return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sketches don't rule out the threshold by six standard deviations."""
+def _bound(values: int, percent: int, deviations: float | None) -> float:
+    """So many equal values of two signatures leave the threshold possible."""
+    share = percent / 100
+    return -1.0 if deviations is None else values * share - deviations * np.sqrt(values * share * (1 - share))
+
+
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """a, b, part: the pairs of one b in parts that each hold no more than a task should."""
+    of = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("m")), "pivots")
+    sized = join_hot(pairs, of, "b", "m", pairs.count())
+    return written(sized.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / PAIRS_OF_A_PIVOT)).cast("int").alias("part")), "dealt")
+
+
+def _beside(dealt: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """The pairs with both sides' values (cid, column) as x and y: a pivot's value once for each of its parts."""
+    parts = dealt.select("b", "part").distinct()
+    of_b = parts.join(values.select(F.col("cid").alias("b"), F.col(column).alias("y")), "b")
+    return dealt.join(values.select(F.col("cid").alias("a"), F.col(column).alias("x")), "a").join(of_b, ["b", "part"])
+
+
+def _likely(dealt: DataFrame, classes: DataFrame, percent: int, deviations: float | None) -> DataFrame:
+    """Pairs whose sketches don't rule out the threshold, or with a short set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             if not len(rows):
                 continue
-            x, y = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(len(rows), -1) for c in ("s_a", "s_b"))
-            n, t = x.shape[1], percent / 100
-            enough = (x == y).sum(1) >= n * t - 6 * np.sqrt(n * t * (1 - t))
-            yield rows.select(["a", "b"]).filter(pa.array(enough))
+            x, y = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(len(rows), -1) for c in ("x", "y"))
+            enough = ((x == y).sum(1) >= _bound(x.shape[1], percent, deviations)) | (rows.column("n").to_numpy() <= SHORT_SET)
+            yield rows.select(["a", "b", "part"]).filter(pa.array(enough))
 
-    sketches = classes.select("rep", "sketch")
-    both = pairs.select("a", "b").join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("s_a")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("s_b")), "b")
-    return both.mapInArrow(run, "a long, b long")
+    both = _beside(dealt, classes, "sketch").join(classes.select(F.col("cid").alias("a"), "n"), "a")
+    return both.select("a", "b", "part", "n", "x", "y").mapInArrow(run, "a long, b long, part int")
 
 
-def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, text of those ids; broadcast only while they are few."""
-    few = ids.count() <= BROADCAST_IDS
-    return written(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "near-texts")
+def _texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cid, text of the classes with these cids: the text that stands for the class."""
+    wanted = written(ids.join(classes.select("cid", "rep.doc_id", "rep.text_hash"), "cid"), "wanted")
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    few = wanted.count() <= BROADCAST_ROWS
+    return written(hashed.join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"]).groupBy("cid").agg(F.first("text").alias("text")), "near-texts")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _linked(dealt: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (written table) whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,15 +188,14 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
         give_back()
         for rows in (b.slice(i, PAIRS_AT_ONCE) for b in batches for i in range(0, len(b), PAIRS_AT_ONCE)):
             keep = []
-            for a, b, x, y in zip(*[rows.column(c).to_pylist() for c in ("a", "b", "t_a", "t_b")], strict=True):
+            for a, b, x, y in zip(*[rows.column(c).to_pylist() for c in ("a", "b", "x", "y")], strict=True):
                 p, q = of(a, x), of(b, y)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = _texts(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), docs)
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("t_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t_b")), "b")
-    return both.mapInArrow(run, "a long, b long")
+    texts = _texts(dealt.select(F.col("a").alias("cid")).unionByName(dealt.select(F.col("b").alias("cid"))).distinct(), classes, docs)
+    return _beside(dealt, texts, "text").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _first_shared(keys: list[list[int]], key: int) -> np.ndarray:
@@ -196,36 +228,38 @@ def _cross(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
             yield int(r), cand
 
 
-def _across(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, block_rows: int = 1024) -> DataFrame:
+def _across(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, deviations: float | None) -> DataFrame:
     """Components once the pairs across components, in buckets that span several, are compared too.
 
     A bucket's rows meet in blocks: first their sketches, then the full sets of
     rows that a sketch doesn't rule out.  Rows grow with buckets, never with pairs.
     """
-    placed = shared.where(F.col("m") > 2).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"), F.col("least.rep").alias("pivot"))
-    span = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where(F.col("lo") != F.col("hi")).select("key", F.ceil(F.col("m") / block_rows).cast("int").alias("blocks"))
-    rows = placed.where(F.col("rep") != F.col("pivot")).drop("pivot").join(span, "key")
-    own = rows.groupBy("rep").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most one a band
-    dealt = rows.join(own, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = written(dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "c", "keys"), "spanning")
+    placed = written(shared.where(F.col("m") > 2).join(found.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "n", "n_bytes", F.coalesce("component", "cid").alias("c"), F.col("least.cid").alias("pivot")), "placed")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("n_bytes") / BLOCK_BYTES)).cast("int")
+    span = written(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n_bytes").alias("n_bytes")).where(F.col("lo") != F.col("hi")).select("key", "m", blocks.alias("blocks")), "span")
+    if span.isEmpty():
+        return found
+    rows = join_hot(placed.where(F.col("cid") != F.col("pivot")).drop("pivot", "n_bytes"), span, "key", "m", placed.count()).drop("m")
+    own = rows.groupBy("cid").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most one a band
+    dealt = rows.join(own, "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = written(dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "n", "c", "keys"), "spanning")
 
     def likely(t: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(t), -1)
-        k, share = x.shape[1], percent / 100
-        bound = k * share - 6 * np.sqrt(k * share * (1 - share))
+        bound, short = _bound(x.shape[1], percent, deviations), t.column("n").to_numpy() <= SHORT_SET
         keep = np.zeros(len(t), bool)
         for r, cand in _cross(t, percent):
-            cand = cand[(x[cand] == x[r]).sum(1) >= bound]
+            cand = cand[short[r] | short[cand] | ((x[cand] == x[r]).sum(1) >= bound)]
             keep[cand] = True
             keep[r] |= len(cand) > 0
-        return t.select(["key", "i", "j", "rep"]).filter(pa.array(keep))
+        return t.select(["key", "i", "j", "cid"]).filter(pa.array(keep))
 
     def linked(t: pa.Table) -> pa.Table:
         sets = [shingles(x, size) for x in t.column("text").to_pylist()]
         flat, place = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.cumsum([0, *map(len, sets)])[:-1]
         sizes = np.array([len(s) for s in sets])
-        rep, comp = t.column("rep").to_pylist(), t.column("c").to_numpy()
+        cid, comp = t.column("cid").to_pylist(), t.column("c").to_numpy()
         mark, out = np.zeros(len(flat), np.int64), []
         for r, cand in _cross(t, percent):
             mine = place[starts[r] : starts[r] + sizes[r]]
@@ -234,41 +268,47 @@ def _across(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: DataF
             mark[mine] = 0
             hit = cand[100 * both >= percent * (sizes[cand] + sizes[r] - both)]
             _, one = np.unique(comp[hit], return_index=True)  # a link to each component is enough
-            out += [(rep[r], rep[h]) for h in hit[one]]
+            out += [(cid[r], cid[h]) for h in hit[one]]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     block = ["key", "i", "j"]
-    sketched = dealt.join(classes.select("rep", "sketch"), "rep")
-    open_rows = written(sketched.groupBy(*block).applyInArrow(likely, "key long, i int, j int, rep long"), "open")
+    sketched = dealt.join(classes.select("cid", "sketch"), "cid")
+    open_rows = written(sketched.groupBy(*block).applyInArrow(likely, "key long, i int, j int, cid long"), "open")
     if open_rows.isEmpty():
         return found
-    texts = _texts(open_rows.select(F.col("rep").alias("doc_id")).distinct(), docs)
-    full = dealt.join(open_rows, [*block, "rep"]).join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    texts = _texts(open_rows.select("cid").distinct(), classes, docs)
+    full = dealt.join(open_rows, [*block, "cid"]).join(texts, "cid")
     late = full.groupBy(*block).applyInArrow(linked, "a long, b long")
     return written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late)), "components")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 28, band_permutations: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 28, band_permutations: int = 3, deviations: float | None = 6.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, text_hash."""
     docs = only(docs, doc_id=id_col, text=text_col)
     hashing = MinMax(bands, band_permutations)
     sig = written(signatures(docs, size, hashing), "signatures")
-    full = sig.where(F.col("digest").isNotNull())
-    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    rows = classes.select("rep", "n", F.explode("bands").alias("key"))
+    full = sig.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+    per_class = full.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.max("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = written(per_class.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    rows = classes.select("cid", "n", "n_bytes", F.explode("bands").alias("key"))
     # one row a bucket; counts and pivots meet before the shuffle
-    crowds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
-    crowded = written(rows.join(crowds, "key"), "crowds")
+    crowds = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1), "crowds")
+    met_in = crowds.agg(F.sum("m")).first()[0] or 0
+    crowded = written(join_hot(rows, crowds, "key", "m", met_in), "crowded")
     # of a bucket the class that meets others most, as the text that others were made from does
-    central = crowded.groupBy("rep").agg(F.sum("m").alias("met"))
-    met = written(crowded.join(central, "rep").select("key", "rep", "n", "m", (-F.col("met")).alias("order")), "met")
-    pivots = met.groupBy("key").agg(F.min(F.struct("order", "rep", "n")).alias("least"))
-    shared = written(met.drop("order").join(pivots, "key"), "buckets")
-    first = shared.where(F.col("rep") != F.col("least.rep")).select(F.col("rep").alias("a"), F.col("least.rep").alias("b"), F.col("n").alias("n_a"), F.col("least.n").alias("n_b")).where(_sizes_allow(percent)).select("a", "b").distinct()
-    tested = written(_likely(first, classes, percent), "pairs")
-    found = written(components(_linked(tested, docs, size, percent)), "components")
-
-    found = _across(shared, found, classes, docs, size, percent)
-    of_class = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    central = crowded.groupBy("cid").agg(F.sum("m").alias("met"))
+    met = written(crowded.join(central, "cid").select("key", "cid", "n", "n_bytes", "m", (-F.col("met")).alias("order")), "met")
+    pivots = written(met.groupBy("key").agg(F.min(F.struct("order", "cid", "n")).alias("least"), F.max("m").alias("m")), "least")
+    shared = written(join_hot(met.drop("order", "m"), pivots, "key", "m", met_in), "buckets")
+    first = shared.where(F.col("cid") != F.col("least.cid")).select(F.col("cid").alias("a"), F.col("least.cid").alias("b"), F.col("n").alias("n_a"), F.col("least.n").alias("n_b")).where(_sizes_allow(percent)).select("a", "b").distinct()
+    tested = written(_likely(_dealt(written(first, "first")), classes, percent, deviations), "pairs")
+    found = written(components(_linked(tested, classes, docs, size, percent)), "components")
+
+    found = _across(shared, found, classes, docs, size, percent, deviations)
+    smallest = found.join(classes.select(F.col("cid").alias("node"), F.col("rep.doc_id").alias("rep")), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_linked = found.join(smallest, "component").select(F.col("node").alias("cid"), "component_id")
+    of_class = written(classes.select("digest", "copies", "cid", F.col("rep.doc_id").alias("rep")).join(of_linked, "cid", "left").select("digest", "copies", F.coalesce("component_id", "rep").alias("component_id")), "of-class")
+    linked = join_hot(sig.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "n_shingles", "text_hash", "digest"), of_class, "digest", "copies", of_class.agg(F.sum("copies")).first()[0] or 0)
+    alone = sig.where(F.col("digest").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", "text_hash", F.col("doc_id").alias("component_id"))
+    out = linked.select("doc_id", "n_shingles", "text_hash", "component_id").unionByName(alone)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")

@@ -13,9 +13,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemora.llm import bpe, forest, langid, minmax, packing, pretok, quality_model, quality_rules, token_counts, token_store, toxicity
-from mnemora.llm.components import Forest, components
+from mnemora.llm.components import components
 from mnemora.llm.library import LibraryEncoder
 from mnemora.llm.runtime import tokenizer_path
+from tests.llm.brute import Forest
 
 JSON, RANKS = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, length long, label string, digest string, kept boolean"
@@ -106,6 +107,28 @@ def test_long_texts_in_segments(monkeypatch, texts):
     assert bpe.ByteBPE(RANKS).encode([t or "" for t in texts]) == whole
 
 
+def test_full_caches_and_long_pieces(monkeypatch, texts, library):
+    from mnemora.llm import words
+
+    monkeypatch.setattr(words, "KEPT_BYTES", 40)
+    own = LibraryEncoder(JSON, 60)
+    for part in range(0, len(texts), 7):  # blocks of fewer pieces than the cache holds, and of more
+        got = own.encode([t or "" for t in texts[part : part + 7]])
+        assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in got] == library[part : part + 7]
+    odd = ["", "\0", "\0\0", "a\0b" * 9, "é" * 8, "é" * 9, "x" * 16, "x" * 17, "x" * 300, "ab" * 700]
+    assert [len(x) // 4 for x in own.encode(odd)] == [len(own.tokenizer.encode(x, add_special_tokens=False).ids) for x in odd]
+
+
+def test_segments_start_tokens():
+    rng = random.Random(2)
+    for _ in range(300):
+        t = "".join(rng.choice("ab1٣ \t\n'.!é漢s") for _ in range(rng.randint(0, 400)))
+        for limit in (8, 20, 64):
+            parts = pretok.segments(t, limit)
+            assert "".join(parts) == t and [p for x in parts for p in pretok.split([x])[0]] == pretok.split([t])[0]
+    assert max(map(len, pretok.segments("aB9+/x" * 5000, 1000))) <= 1000
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_store(spark, docs, texts, library, encoding, tmp_path):
     path = f"file://{tmp_path}/store"
