@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.llm import minmax, packing, quality_model, toxicity
-from mnemora.llm.runtime import tokenizer_path, written
+from mnemora.llm.runtime import numbered, position, tokenizer_path, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +27,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     key = ["doc_id", "text_hash"]
     gone = found.where(~F.col("kept")).select(key).distinct()
     again = written(found.where("kept").groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "repeated")
-    left = docs.withColumn("text_hash", F.xxhash64("text")).join(gone, key, "left_anti")
+    plain = numbered(docs)  # c0, c1, ...: names of the input clash with none here
+    left = plain.select("*", F.col(f"c{position(docs, 'doc_id')}").alias("doc_id"), F.xxhash64(f"c{position(docs, 'text')}").alias("text_hash")).join(gone, key, "left_anti")
     if not again.isEmpty():
         same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
         marks = again.toDF(*[f"_{k}" for k in key])
-        once = left.join(marks, same, "left_semi").groupBy(key).agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
-        return left.join(marks, same, "left_anti").select(docs.columns).unionByName(once)
-    return left.select(docs.columns)
+        once = left.join(marks, same, "left_semi").groupBy(key).agg(F.first(F.struct(*plain.columns)).alias("row")).select("row.*")
+        left = left.join(marks, same, "left_anti").select(plain.columns).unionByName(once)
+    return left.select(plain.columns).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

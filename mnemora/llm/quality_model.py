@@ -6,7 +6,8 @@ regression on other documents of the sample turns margins into probabilities.
 
 Defined results: a null or empty text has all statistics 0 and the score that
 they get; repeated rows get equal scores; without labelled documents every score
-is 0; an empty table gives an empty result; other columns are not read.
+is 0; a null doc_id counts as not held out; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.runtime import only, row_blocks
+from mnemora.llm.runtime import keep_rows, only, row_blocks
 from mnemora.llm.samples import crc_of, labelled_sample
 
 SYMBOLS = "#*$%&|<>"
@@ -154,7 +155,7 @@ def score(docs: DataFrame, model: Model, held_out: int = 0, modulus: int = 5, th
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(own.score(np.array([statistics(t) for t in texts])), pa.float64())], names=["doc_id", "score"])
 
     scored = only(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (crc_of("doc_id") % modulus == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_of("doc_id") % modulus == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -162,10 +163,4 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     if not len(model.knots):
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for rows, texts in row_blocks(batches):
-            yield rows.filter(pa.array(own.score(np.array([statistics(t) for t in texts])) >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, lambda texts: (shared.value.score(np.array([statistics(t) for t in texts])) >= threshold).tolist())

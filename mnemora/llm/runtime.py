@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Characters that a Python worker handles at a time; longer texts go through in segments.
 BLOCK_CHARS = 500_000
-#: So many rows of a few numbers may be broadcast, once counted.
-BROADCAST_ROWS = 50_000
+#: So many rows of a few numbers may be broadcast, once counted: by a join that would else shuffle keys, and by one that would else shuffle texts.
+BROADCAST_ROWS, BROADCAST_IDS = 10_000, 500_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -74,19 +73,36 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     Other columns don't matter, not even those whose names differ in case alone: the
     name in its exact case is meant, or else the only one without regard to case.
     """
-    picked = []
-    for name, source in columns.items():
-        exact = [i for i, c in enumerate(df.columns) if c == source]
-        near = exact or [i for i, c in enumerate(df.columns) if c.lower() == source.lower()]
-        if len(near) != 1:
-            raise ValueError(f"{source}: {len(near)} columns of that name")
-        picked.append((near[0], name))
+    picked = [(position(df, source), name) for name, source in columns.items()]
     if len({c.lower() for c in df.columns}) < len(df.columns):  # names that clash can't be told apart by Spark's resolver
-        df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-        return df.select(*[F.col(f"c{i}").alias(name) for i, name in picked])
+        return numbered(df).select(*[F.col(f"c{i}").alias(name) for i, name in picked])
     return df.select(*[F.col("`" + df.columns[i].replace("`", "``") + "`").alias(name) for i, name in picked])
 
 
+def position(df: DataFrame, source: str) -> int:
+    exact = [i for i, c in enumerate(df.columns) if c == source]
+    near = exact or [i for i, c in enumerate(df.columns) if c.lower() == source.lower()]
+    if len(near) != 1:
+        raise ValueError(f"{source}: {len(near)} columns of that name")
+    return near[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1 and so on, which clash with nothing."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def keep_rows(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text_col: str = "text") -> DataFrame:
+    """The rows, all columns, whose texts (null: empty) `keep` holds for; it gets blocks of texts."""
+    plain, column = numbered(docs), f"c{position(docs, text_col)}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in row_blocks(batches, column):
+            yield rows.filter(pa.array(keep(texts), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def give_back() -> None:
     """Returns what a reused worker still holds from earlier tasks to the system."""
     pa.default_memory_pool().release_unused()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.llm.library import encoder
-from mnemora.llm.runtime import BROADCAST_ROWS, join_hot, new_path, only, row_blocks, written
+from mnemora.llm.runtime import BROADCAST_IDS, join_hot, new_path, only, row_blocks, written
 
 CACHE = "version string, digest binary, n_tokens long"
 
@@ -82,7 +82,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     # the join to stored counts takes digests alone; texts move only for misses
     missing = None if stored is None else written(asked.join(stored, "digest", "left_anti").select("digest"), "misses")
     if missing is None or not missing.isEmpty():
-        if missing is not None and missing.count() <= BROADCAST_ROWS:
+        if missing is not None and missing.count() <= BROADCAST_IDS:
             texts_of = texts_of.join(F.broadcast(missing), "digest", "left_semi")
         # first() has a partial form, so a text of a third of all rows is one row a task
         distinct = texts_of.groupBy("digest").agg(F.first("text").alias("text"))

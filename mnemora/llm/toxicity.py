@@ -1,7 +1,8 @@
 """Operator 5: toxicity by a weighted lexicon.
 
-Texts are folded (lower case, homoglyphs, digit and sign substitutions).  The
-lexicon holds word beginnings; it is learned on a bounded labelled sample by
+Texts are folded (lower case, compatibility forms such as mathematical and wide
+letters, accents, homoglyphs, digit and sign substitutions).  The lexicon holds
+whole words and word beginnings; it is learned on a bounded labelled sample by
 sequential covering: of all beginnings that toxic documents have far more often,
 the one that explains most words not yet explained comes next; then the same goes
 on for documents without any.  Words that only ride along in copies earn no place.  An Aho-Corasick automaton finds
@@ -11,14 +12,15 @@ makes it a score.
 
 Defined results: a null or empty text has no match and the score of one without
 any; repeated rows get equal scores; without labelled documents of both classes
-every score is 0; an empty table gives an empty result; other columns are not
-read.
+every score is 0; a null doc_id counts as not held out; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.runtime import only, row_blocks
+from mnemora.llm.runtime import keep_rows, only, row_blocks
 from mnemora.llm.samples import crc_of, labelled_sample
 
 #: Letters that look like Latin ones, and signs that stand for letters.
@@ -36,20 +38,23 @@ HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ѕ": "s",
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 #: Harmless phrases with words that could be entries.
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "stupid question")
-FOLD = str.maketrans({k: v for k, v in (HOMOGLYPHS | SUBSTITUTES).items()} | {chr(0xFF41 + i): chr(0x61 + i) for i in range(26)} | {"​": "", "‌": "", "‍": "", "­": ""})
+FOLD = str.maketrans({k: v for k, v in (HOMOGLYPHS | SUBSTITUTES).items()} | {chr(c): "" for c in range(0x300, 0x370)} | {"​": "", "‌": "", "‍": "", "­": ""})
 WORD = re.compile(r"[^\W\d_]+")
+#: Letters of a beginning; whole words may be of any length.
 SHORTEST, LONGEST = 4, 16
 #: Ends an entry that must be the whole word.
 END = "|"
 
 
 def fold(text: str) -> str:
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
     return text.lower().translate(FOLD)
 
 
 def beginnings(words: set[str]) -> set[str]:
     """The words' beginnings, and the words as a whole."""
-    return {w[:k] for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1)} | {w + END for w in words if len(w) < 3 * LONGEST}
+    return {w[:k] for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1)} | {w + END for w in words}
 
 
 @dataclass
@@ -100,6 +105,8 @@ class Lexicon:
         return total and total / math.log2(4 + text.count(" ") + text.count("\n"))
 
     def score(self, text: str) -> float:
+        if not self.weights:
+            return 0.0
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * self.density(text)))))
 
 
@@ -199,16 +206,10 @@ def score(docs: DataFrame, lexicon: Lexicon, held_out: int = 0, modulus: int = 5
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([own.score(t) for t in texts], pa.float64())], names=["doc_id", "score"])
 
     scored = only(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (crc_of("doc_id") % modulus == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_of("doc_id") % modulus == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
     """The documents, all columns, whose score stays under the threshold."""
     model = docs.sparkSession.sparkContext.broadcast(lexicon)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
-        for rows, texts in row_blocks(batches):
-            yield rows.filter(pa.array([own.score(t) < threshold for t in texts], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, lambda texts: [model.value.score(t) < threshold for t in texts])
