@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -353,6 +354,104 @@ def test_language(spark, docs, texts):
     assert langid.fit(train.limit(0)) is None and by_id(langid.predict(docs, None))[0]["lang_pred"] == "und"
 
 
+def test_language_against_sets(spark):
+    """Kernel and ridge recomputed with plain sets, and predictions from them."""
+    rng = random.Random(5)
+    words = {"en": ["the", "house", "with", "thing"], "ru": ["дом", "это", "и", "вещь"], "zh": ["房子", "东西", "這", "和"], "el": ["σπίτι", "και", "το"]}
+    texts = [(" ".join(rng.choice(words[k]) for _ in range(rng.randint(3, 12))), k) for _ in range(60) for k in words]
+
+    def plain(t):
+        t = "".join(c if c.isalpha() or c == " " else "\0" for c in f" {t.lower()} ")
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    sets, langs = [langid.grams(t) for t, _ in texts], [k for _, k in texts]
+    own = [plain(t) for t, _ in texts]
+    assert [len(s) for s in sets] == [len(s) for s in own]
+    model = langid.train(sets, langs, landmarks=20)
+    first = [i for n in range(60) for i in range(4 * n, 4 * n + 4)]
+    marks = sorted(first[:20], key=lambda i: (i // 4, langs[i]))
+    k = np.array([[len(a & own[m]) / math.sqrt(len(a) * len(own[m])) for m in marks] for a in own])
+    assert np.allclose(model.kernel(sets), k, atol=1e-6)
+    # kernel ridge on the landmarks: min |y - K w|^2 + ridge n w' M w
+    y = np.array([[1.0 if a == b else -1.0 for b in model.languages] for a in langs])
+    m = k[marks]
+    w = np.linalg.solve(k.T @ k + 1e-3 * len(texts) * (m + 1e-10 * np.eye(20)), k.T @ y)
+    assert np.allclose(model.margins(sets), k @ w, atol=1e-3)
+    got, scores = model.predict([t for t, _ in texts])
+    assert got == [model.languages[i] for i in (k @ w).argmax(1)] and min(scores) >= 0.25
+
+
+def test_language_sample_is_exact(spark):
+    rows = [(i % 50, f"text {i % 80} of it", "en" if i % 4 else "de") for i in range(400)] + [(None, "nothing", "en"), (7, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = [langid.training_sample(df, 1, 3, 20).select("doc_id", "text_hash", "lang").toPandas().sort_values(["lang", "doc_id", "text_hash"]).values.tolist() for df in (docs, docs.repartition(7))]
+    assert got[0] == got[1] and len(got[0]) == 20 and all(zlib.crc32(str(i).encode()) % 3 != 1 for i, _, _ in got[0])
+
+
+def test_grams_of_long_texts(monkeypatch):
+    t = " ".join(random.Random(1).choice(["aé", "漢字", "x1", "b"]) for _ in range(200))
+    whole = langid.grams(t).tolist()
+    monkeypatch.setattr(langid, "CHARS_AT_ONCE", 17)
+    assert langid.grams(t).tolist() == whole and langid.has_letter("1" * 40 + "a") and not langid.has_letter("1" * 40)
+
+
+def test_toxicity_against_plain_search():
+    """Matches by looking at every place, and the curve by gradient steps."""
+    rng = random.Random(7)
+    lexicon = toxicity.Lexicon({"grob": 3.0, "grobnik|": 5.0, "tra": 1.0, "trash": 2.0, "x" * 60 + "|": 4.0}, ("trash can",), -2.0, 1.0)
+    parts = ["grob", "grobnik", "grobnika", "trash", "trash can", "tr4sh can", "gróbnik", "𝐠𝐫𝐨𝐛", "x" * 60, "a", "can", "ttrash", "GROB"]
+
+    def plain(text):
+        t, out = toxicity.fold(text), 0.0
+        phrases = [(i, i + 8) for i in range(len(t)) if t.startswith("trash can", i) and not t[i - 1 : i].isalpha() and not t[i + 9 : i + 10].isalpha()]
+        for i in range(len(t)):
+            if t[i - 1 : i].isalpha() if i else False:
+                continue
+            best = 0.0
+            for e, w in lexicon.weights.items():
+                stem = e.removesuffix("|")
+                if t.startswith(stem, i) and (stem == e or not t[i + len(stem) : i + len(stem) + 1].isalpha()):
+                    best = max(best, w)
+            if not any(a <= i <= b for a, b in phrases):
+                out += best
+        return out / math.log2(4 + text.count(" ") + text.count("\n"))
+
+    for _ in range(300):
+        text = rng.choice([" ", ", ", "\n"]).join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        assert abs(lexicon.density(text) - plain(text)) < 1e-9
+        assert abs(lexicon.score(text) - 1 / (1 + math.exp(2 - plain(text)))) < 1e-9
+    assert toxicity.Lexicon({}).score("grob") == 0 and toxicity.beginnings({"y" * 60}) >= {"y" * 60 + "|", "y" * 16}
+    x, y = np.array([rng.random() + (i % 2) for i in range(200)]), np.array([i % 2 for i in range(200)], float)
+    b, m = toxicity.logistic(x, y, ridge=1e-2)
+    w = np.zeros(2)
+    for _ in range(200_000):
+        r = y - 1 / (1 + np.exp(-(w[0] + w[1] * x)))
+        w += 0.02 * (np.array([r.sum(), (r * x).sum()]) - 1e-2 * w)
+    assert np.allclose([b, m], w, atol=1e-3)
+
+
+def test_quality_model_against_one_process(spark):
+    """The normal equations solved at once, and the calibration by quadratic search."""
+    train, labels = labelled(spark, 300)
+    model = quality_model.fit(train, labels)
+    text = {r["doc_id"]: r["text"] for r in train.collect()}
+    known = sorted((r["doc_id"], r["quality"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5)
+    fold = {r["doc_id"]: r["f"] for r in train.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)).alias("f")).collect()}
+    x = np.array([quality_model.statistics(text[i]) for i, _ in known])
+    y, held = np.array([q for _, q in known], float), np.array([fold[i] == 0 for i, _ in known])
+    scale = x.std(0)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.where(scale > 0, scale, 1), atol=1e-9)
+    z = np.clip((x - x.mean(0)) / model.scale, -6, 6)
+    a = np.hstack([np.sqrt(2 / 256) * np.cos(z @ model.omega + model.phase), z / 10, np.ones((len(z), 1))])
+    beta = np.linalg.solve(a[~held].T @ a[~held] + 1e-3 * (~held).sum() * np.eye(a.shape[1]), a[~held].T @ y[~held])
+    assert np.allclose(model.beta, beta, atol=1e-6)
+    m, t = a[held] @ beta, y[held]
+    order = np.argsort(m, kind="stable")
+    t = t[order]
+    best = np.array([max(min(t[i : j + 1].mean() for j in range(k, len(t))) for i in range(k + 1)) for k in range(len(t))])  # min-max form of isotonic regression
+    assert np.allclose(model.score(x[held][order]), best, atol=1e-6)
+
+
 def test_special_tokens_as_the_library_has_them():
     t = "a<|endoftext|> b  <|endoftext|>"
     own = LibraryEncoder(JSON)
