@@ -109,12 +109,114 @@ def recall_at(found: DataFrame, truth: DataFrame, by: str, k: int) -> DataFrame:
     return truth.select(by).distinct().join(hits, by, "left").select(by, (F.coalesce("hits", F.lit(0)) / k).alias("recall"))
 
 
+def block_products(rows: DataFrame, block_rows: int = 1024) -> DataFrame:
+    """a, b, similarity of all pairs a < b of a collective, by products of blocks.
+
+    rows: id, collective_id, embedding.  A collective of R rows goes to tasks as
+    R * R / block_rows rows; the pairs themselves are what was asked for.
+    """
+    sizes = rows.groupBy("collective_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "collective_id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("collective_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "embedding")
+    kind = dict(rows.dtypes)["id"]
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        x = np.array(t.column("embedding").to_pylist(), float)
+        block = t.column("block").to_numpy()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = x / np.sqrt((x * x).sum(1, keepdims=True))
+            sim = x @ x.T
+        keep = np.triu(np.ones(sim.shape, bool), 1)
+        if t.column("i")[0].as_py() != t.column("j")[0].as_py():
+            keep &= block[:, None] != block[None, :]
+        a, b = np.nonzero(keep)
+        ids = t.column("id").combine_chunks()
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "similarity": pa.array(sim[a, b], mask=np.isnan(sim[a, b]))})
+
+    return dealt.groupBy("collective_id", "i", "j").applyInArrow(run, f"a {kind}, b {kind}, similarity double")
+
+
+def bucketed(df: DataFrame, key: str, tables: int, bucket: float, seed: int) -> DataFrame:
+    """key, collective_id, embedding, slot: a row for each table's bucket of a random projection of the unit vector."""
+    kind = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng_of: dict[int, np.ndarray] = {}
+        for b in batches:
+            slots: list[list[int]] = []
+            for v in b.column("embedding").to_pylist():
+                x = np.array(v, float)
+                n = np.sqrt((x * x).sum())
+                if len(x) not in rng_of:
+                    d = np.random.default_rng(seed).normal(size=(tables, len(x)))
+                    rng_of[len(x)] = d / np.sqrt((d * d).sum(1, keepdims=True))
+                slots.append([] if not n else [int(h) * tables + t for t, h in enumerate(np.floor(rng_of[len(x)] @ (x / n) / bucket))])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(slots, pa.list_(pa.int64()))], names=[*b.schema.names, "slots"])
+
+    schema = f"{key} {kind[key]}, collective_id {kind['collective_id']}, embedding {kind['embedding']}, slots array<bigint>"
+    return df.select(key, "collective_id", "embedding").mapInArrow(run, schema).withColumn("slot", F.explode("slots")).drop("slots")
+
+
 def lsh_candidates(queries: DataFrame, rows: DataFrame, k: int, tables: int = 8, bucket: float = 0.8, seed: int = 3) -> DataFrame:
-    """Approximate neighbours by bucketed random projections of unit vectors (optional; `nearest` is exact)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = lambda df, key: df.select(F.col(key), "collective_id", array_to_vector(normalize(F.col("embedding"))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(unit(rows, "id"))
-    pairs = model.approxSimilarityJoin(unit(queries, "query_id"), unit(rows, "id"), 2.0, "d").where("datasetA.collective_id = datasetB.collective_id")
-    return top_per(pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), (1 - F.col("d") * F.col("d") / 2).alias("similarity")), ["query_id"], k, F.desc("similarity"), F.asc("id"))
+    """Approximate neighbours by buckets of random projections: rows of the query's collective that share a bucket (`nearest` is exact)."""
+    q = bucketed(queries, "query_id", tables, bucket, seed).select("query_id", "collective_id", "slot")
+    hits = q.join(bucketed(rows, "id", tables, bucket, seed).select("id", "collective_id", "slot"), ["collective_id", "slot"]).select("query_id", "id").distinct()
+    scored = hits.join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").join(rows.select("id", "embedding"), "id").select("query_id", "id", similarity(F.col("embedding"), F.col("q")).alias("similarity"))
+    return top_per(scored, ["query_id"], k, F.desc("similarity"), F.asc("id"))
+
+
+class Cells:
+    """An approximate index: each collective's space in cells around centres, of which a query looks at the nearest.
+
+    Centres are fitted in a task of their own on a bounded sample of each collective;
+    every row lies in the cell of its nearest centre.
+    """
+
+    def __init__(self, rows: DataFrame, cell_rows: int = 256, most_cells: int = 1024, sample_rows: int = 16_384, steps: int = 8, seed: int = 3):
+        kind = dict(rows.dtypes)
+
+        def fit(t: pa.Table) -> pa.Table:
+            x = np.array([v for _, v in sorted(zip(t.column("id").to_pylist(), t.column("embedding").to_pylist(), strict=True))], float)
+            x = x[(x * x).sum(1) > 0]
+            x = x / np.sqrt((x * x).sum(1, keepdims=True))
+            n = int(min(most_cells, max(1, t.column("n")[0].as_py() // cell_rows), max(1, len(x))))
+            c = x[np.random.default_rng(seed).choice(len(x), n, replace=False)] if len(x) else np.zeros((1, 1))
+            for _ in range(steps if len(x) else 0):
+                near = (x @ c.T).argmax(1)
+                sums = np.zeros_like(c)
+                np.add.at(sums, near, x)
+                size = np.sqrt((sums * sums).sum(1, keepdims=True))
+                c = np.where(size > 0, sums / np.where(size > 0, size, 1), c)
+            return pa.table({"collective_id": t.column("collective_id").slice(0, 1), "centres": pa.array([c.tolist()], pa.list_(pa.list_(pa.float64())))})
+
+        sizes = rows.groupBy("collective_id").agg(F.count(F.lit(1)).alias("n"))
+        sample = rows.select("id", "collective_id", "embedding").join(sizes, "collective_id").where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.col("n")) * (1 << 30))
+        self.centres = sample.groupBy("collective_id").applyInArrow(fit, f"collective_id {kind['collective_id']}, centres array<array<double>>").cache()
+        self.rows = self._placed(rows, "id", 1)
+
+    def _placed(self, df: DataFrame, key: str, probes: int) -> DataFrame:
+        """A row for each of the `probes` cells nearest to a vector."""
+        kind = dict(df.dtypes)
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            cells: list[list[int]] = [[] for _ in range(len(left))]
+            if len(right) and len(left):
+                c = np.array(right.column("centres")[0].as_py(), float)
+                x = np.array(left.column("embedding").to_pylist(), float)
+                order = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probes] if x.shape[1] == c.shape[1] else np.zeros((len(left), 1), int)
+                cells = order.tolist()
+            return left.append_column("cells", pa.array(cells, pa.list_(pa.int64())))
+
+        # a collective's rows are dealt over tasks; its centres go along
+        parts = 64
+        dealt = df.select(key, "collective_id", "embedding").withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        centres = self.centres.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        schema = f"{key} {kind[key]}, collective_id {kind['collective_id']}, embedding {kind['embedding']}, part int, cells array<bigint>"
+        return dealt.groupBy("collective_id", "part").cogroup(centres.groupBy("collective_id", "part")).applyInArrow(run, schema).withColumn("cell", F.explode("cells")).drop("cells", "part")
+
+    def nearest(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
+        """query_id, id, similarity, rank among the rows in the query's nearest cells."""
+        q = self._placed(queries, "query_id", probes).select("query_id", "collective_id", "cell", F.col("embedding").alias("q"))
+        scored = self.rows.join(q, ["collective_id", "cell"]).select("query_id", "id", similarity(F.col("embedding"), F.col("q")).alias("similarity"))
+        return top_per(scored, ["query_id"], k, F.desc("similarity"), F.asc("id"))

@@ -35,13 +35,15 @@ class ContextCandidates:
     active_agents: DataFrame | None
 
     def tagged(self) -> DataFrame:
-        """section, id, score of the first four."""
+        """section, id, score; an agent's id is its name."""
         none = F.lit(None).cast("double")
         parts = [self.similar.select(F.lit("similar").alias("section"), "id", F.col("similarity").alias("score")), self.recent.select(F.lit("recent").alias("section"), "id", none.alias("score"))]
         if self.insights is not None:
             parts.append(self.insights.select(F.lit("insight").alias("section"), "id", F.col("similarity").alias("score")))
         if self.relations is not None:
             parts.append(self.relations.select(F.lit("relation").alias("section"), "id", none.alias("score")))
+        if self.active_agents is not None:
+            parts.append(self.active_agents.select(F.lit("agent").alias("section"), F.col("agent_id").alias("id"), none.alias("score")))
         return reduce(DataFrame.unionByName, parts)
 
 

@@ -17,7 +17,7 @@ def violations(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(code)) for code, c in rules.items()]))
 
 
-def experience_rules(dimension: int) -> dict[str, Column]:
+def experience_rules(dimension: int | Column) -> dict[str, Column]:
     c = F.col
     return {
         "content_empty": F.coalesce(F.octet_length("content"), F.lit(0)) == 0,
@@ -34,11 +34,15 @@ def experience_rules(dimension: int) -> dict[str, Column]:
     }
 
 
+#: The rules of what an update may set.
+OF_UPDATES = {"importance_range", "confidence_range", "too_many_tags", "tag_too_long", "too_many_files", "file_too_long"}
+
+
 def relation_rules() -> dict[str, Column]:
     return {"self_relation": F.col("source_id") == F.col("target_id"), "strength_range": ~in_unit(F.col("strength")), "metadata_too_large": F.octet_length("metadata") > S.MAX_METADATA_BYTES}
 
 
-def insight_rules(dimension: int) -> dict[str, Column]:
+def insight_rules(dimension: int | Column) -> dict[str, Column]:
     n = F.coalesce(F.size("source_experience_ids"), F.lit(0))
     return {"content_empty": F.coalesce(F.octet_length("content"), F.lit(0)) == 0, "content_too_large": F.octet_length("content") > S.MAX_INSIGHT_BYTES, "confidence_range": ~in_unit(F.col("confidence")), "no_sources": n < 1, "too_many_sources": n > S.MAX_INSIGHT_SOURCES, "dimension_mismatch": F.coalesce(F.size("embedding"), F.lit(-1)) != dimension}
 

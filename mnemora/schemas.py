@@ -34,5 +34,26 @@ INSIGHT = "id string, collective_id string, content string, embedding array<floa
 ACTIVITY = "agent_id string, collective_id string, current_task string, context_summary string, started_at_ms bigint, last_heartbeat_ms bigint"
 DECAY = "collective_id string, half_life_s double, freq_weight double, floor double, w_similarity double, w_energy double"
 CURSOR = "peer_id string, direction string, last_sequence bigint"
-LOG = "seq bigint, entity_type string, event_type string, entity_id string, collective_id string, ts_ms bigint, origin string, visible boolean, payload string"
 TABLES = {"Collective": COLLECTIVE, "Experience": EXPERIENCE, "Relation": RELATION, "Insight": INSIGHT, "Activity": ACTIVITY, "Decay": DECAY, "Cursor": CURSOR}
+
+
+def column_of(kind: str) -> str:
+    """The log's column with a kind's row."""
+    return kind.lower()
+
+
+def struct_of(kind: str) -> str:
+    return TABLES[kind].replace(" ", ":").replace(",:", ",")
+
+
+def names_of(kind: str) -> list[str]:
+    return [c.split()[0] for c in TABLES[kind].split(", ")]
+
+
+def state_of(kind: str) -> str:
+    """A kind's state; _collective is its partition."""
+    return f"entity_id string, {TABLES[kind]}, _collective string"
+
+
+LOG_HEAD = ["seq bigint", "entity_type string", "event_type string", "entity_id string", "collective_id string", "ts_ms bigint", "origin string", "visible boolean"]
+LOG = ", ".join([*LOG_HEAD, *[f"{column_of(k)} struct<{struct_of(k)}>" for k in TABLES]])

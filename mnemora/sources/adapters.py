@@ -16,20 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def experiences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("collective_id"), "embedding")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.array("lang", "source").alias("tags"))
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experiences without content and tags: `documents` isn't read."""
     i = F.col("id")
     ts = F.lit(T0) + i * HOUR
     a, b = (i % 4).cast("long"), (i % 3).cast("long")
-    return e.join(d, "id", "left").select(
-        "id", "collective_id", F.coalesce("text", F.lit("")).alias("content"), "embedding", F.coalesce("tags", F.array().cast("array<string>")).alias("domain"),
-        (i % 9).alias("type_tag"), ((i * 37 % 101).cast("double") / 100).alias("importance"), ((i * 53 % 101).cast("double") / 100).alias("confidence"),
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("collective_id"), "embedding").select(
+        "id", "collective_id", "embedding", (i % 9).alias("type_tag"), ((i * 37 % 101).cast("double") / 100).alias("importance"), ((i * 53 % 101).cast("double") / 100).alias("confidence"),
         (i % 11 == 0).alias("archived"), ts.alias("ts_ms"), (ts + i % 5 * DAY).alias("last_reinforced_ms"),
         F.create_map(F.lit("A"), a, F.lit("B"), b).alias("applications"), (a + b).alias("n_applications"),
     )
 
 
+def experiences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.array("lang", "source").alias("tags"))
+    return vectors(spark, sf_dir).join(d, "id", "left").withColumn("content", F.coalesce("text", F.lit(""))).withColumn("domain", F.coalesce("tags", F.array().cast("array<string>"))).drop("text", "tags")
+
+
 def collectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("id")).distinct()
     return e.select("id", F.concat(F.lit("collective-"), F.col("id").cast("string")).alias("name"), (F.col("id") % 3).cast("string").alias("owner_id"), F.lit(64).alias("embedding_dimension"))

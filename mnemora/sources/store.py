@@ -1,29 +1,28 @@
-"""The engine: entities in one append-only log, and everything the API answers from it.
+"""The engine: what the API answers from an append-only log and the state merged from it.
 
-Each change is one Parquet append of log rows, which is the commit point; entity
-tables are views (the last row of each entity, without deleted ones).  Log rows
-that only carry state that peers and watchers never see have visible = false.
+Each change is one folder of typed log rows; entity tables are the newest merged
+state with the changes since then over it (see `tables`).  Log rows that only
+carry state that peers and watchers never see have visible = false.
 """
 
 from __future__ import annotations
 
-import json
 import time
 import uuid
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora import schemas as S
 from mnemora.errors import ConfigError, NotFoundError, ReadOnlyError, ValidationError
-from mnemora.functions.embedding import EmbeddingService, ExternalEmbedder, ProviderIdentity
+from mnemora.functions.embedding import EmbeddingService, ExternalEmbedder, ProviderIdentity, embed_column
 from mnemora.functions.scoring import DecayConfig, energy, total_applications
 from mnemora.operators import graph, log as L, presence, recall, validation
 from mnemora.operators.context import ContextCandidates, ContextRequest, candidates
 from mnemora.operators.filters import SearchFilter, WatchFilter
+from mnemora.sources.tables import MERGE_EVERY, Tables, typed
 from mnemora.streaming import watch as W
 
 
@@ -49,58 +48,83 @@ def mutates(f: Callable) -> Callable:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, dimension: int = 384, read_only: bool = False, embedder: EmbeddingService | None = None, decay: DecayConfig = DecayConfig(), instance_id: str | None = None, stale_seconds: float = S.STALE_SECONDS, clock: Callable[[], int] | None = None):
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        dimension: int = 384,
+        read_only: bool = False,
+        embedder: EmbeddingService | None = None,
+        decay: DecayConfig = DecayConfig(),
+        instance_id: str | None = None,
+        stale_seconds: float = S.STALE_SECONDS,
+        clock: Callable[[], int] | None = None,
+        watch_enabled: bool = True,
+        merge_every: int = MERGE_EVERY,
+    ):
         if not 1 <= dimension <= S.MAX_DIMENSION:
             raise ConfigError("dimension must be from 1 to 4096")
         if stale_seconds <= 0:
             raise ConfigError("the stale threshold must be above 0")
         self.spark, self.root, self.read_only, self.decay = spark, root.rstrip("/"), read_only, decay.validate()
+        self.tables = Tables(spark, self.root, merge_every)
         self.embedder = embedder or ExternalEmbedder(dimension)
-        self.dimension, self.stale_seconds = self.embedder.dimension(), stale_seconds
+        self.dimension, self.stale_seconds, self.watch_enabled = self.embedder.dimension(), stale_seconds, watch_enabled
         self.clock = clock or (lambda: int(time.time() * 1000))
-        self.instance_id = instance_id or new_id()
-        stamp = self._one("Meta", "identity")
         mine = self.embedder.identity()
-        if stamp and (stamp["provider"], stamp["model_id"]) != (mine.provider, mine.model_id):
-            raise ConfigError(f"the store was written with {stamp['provider']}/{stamp['model_id']}")
-        if not stamp:
+        files = self.tables.files
+        if not files.exists("meta.json"):
             if read_only and embedder is not None:
                 raise ReadOnlyError("no embedder is stamped yet")
             if not read_only:
-                self._append([("Meta", "Created", "identity", None, {"provider": mine.provider, "model_id": mine.model_id, "dimension": self.dimension, "schema_version": S.SCHEMA_VERSION, "created_at_ms": self.clock()}, False)])
+                files.create("meta.json", {"instance_id": instance_id or new_id(), "provider": mine.provider, "model_id": mine.model_id, "dimension": self.dimension, "schema_version": S.SCHEMA_VERSION, "created_at_ms": self.clock()})
+        stamp = self.metadata()
+        if stamp and (stamp["provider"], stamp["model_id"]) != (mine.provider, mine.model_id):
+            raise ConfigError(f"the store was written with {stamp['provider']}/{stamp['model_id']}")
+        # the store's own, so that changes are known as its own after reopening
+        self.instance_id = instance_id or stamp.get("instance_id") or new_id()
 
     # the log
 
     @property
     def log_path(self) -> str:
-        return f"{self.root}/log"
+        return self.tables.log_path
 
-    def log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(S.LOG).parquet(self.log_path)
-        except AnalysisException:  # nothing was written yet
-            return self.spark.createDataFrame([], S.LOG)
+    def log(self, since: int = 0) -> DataFrame:
+        return self.tables.log(since)
 
     def _append(self, rows: list[tuple], origin: str | None = None) -> int:
-        """rows: entity type, event type, id, collective, payload, visible.  One append; the single writer numbers them."""
-        seq = self._last_seq()
-        data = [(seq + k + 1, kind, event, key, coll, self.clock(), origin or self.instance_id, visible, None if body is None else json.dumps(body)) for k, (kind, event, key, coll, body, visible) in enumerate(rows)]
-        self.spark.createDataFrame(data, S.LOG).coalesce(1).write.mode("append").parquet(self.log_path)
-        return seq + len(data)
-
-    def _last_seq(self) -> int:
-        return self.log().agg(F.max("seq")).first()[0] or 0
-
-    def _state(self, kind: str) -> DataFrame:
-        rows = self.log().where(F.col("entity_type") == kind).withColumn("o", F.col("seq"))
-        return L.current(rows, ["entity_id"], "o")
-
-    def table(self, kind: str) -> DataFrame:
-        return self._state(kind).select(F.from_json("payload", S.TABLES[kind]).alias("r")).select("r.*")
+        """rows: entity type, event type, id, collective, the entity's row, visible.  One change; returns its last number."""
+        place = {k: i for i, k in enumerate(S.TABLES)}
+        data = []
+        for kind, event, key, coll, body, visible in rows:
+            own: list = [None] * len(place)
+            own[place[kind]] = body
+            data.append((kind, event, key, coll, self.clock(), origin or self.instance_id, visible, *own))
+        last = self.tables.put(data)
+        self.tables.merge_if_long()
+        return last
+
+    def _append_table(self, kind: str, rows: DataFrame, event: str | Column, body: str | Column | None, visible: bool = True, origin: Column | None = None) -> DataFrame:
+        """Log rows of one kind from a table with entity_id and collective_id."""
+        head = [F.lit(kind).alias("entity_type"), (F.lit(event) if isinstance(event, str) else event).alias("event_type"), "entity_id", "collective_id", F.lit(self.clock()).cast("long").alias("ts_ms"), (F.lit(self.instance_id) if origin is None else origin).alias("origin"), F.lit(visible).alias("visible")]
+        return rows.select(*head, *typed(kind, body))
+
+    def _commit(self, *parts: DataFrame) -> int:
+        """Tables of log rows as one change; returns how many rows."""
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        n = self.tables.append(out)
+        self.tables.merge_if_long()
+        return n
+
+    def table(self, kind: str, collective_id: str | None = None) -> DataFrame:
+        return self.tables.state(kind, collective_id).select(S.names_of(kind))
 
     def _one(self, kind: str, key: str) -> dict | None:
-        rows = L.current(self.log().where((F.col("entity_type") == kind) & (F.col("entity_id") == key)).withColumn("o", F.col("seq")), ["entity_id"], "o").select("payload").collect()
-        return json.loads(rows[0][0]) if rows else None
+        rows = self.tables.state(kind, key=key).select(S.names_of(kind)).limit(1).collect()
+        return rows[0].asDict(True) if rows else None
 
     def _need(self, kind: str, key: str) -> dict:
         got = self._one(kind, key)
@@ -114,13 +138,26 @@ class Engine:
         if bad:
             raise ValidationError(bad[0], ", ".join(bad))
 
+    def merge(self) -> int:
+        """Lays the changes so far into a new state; happens by itself after `merge_every` changes."""
+        if self.read_only:
+            raise ReadOnlyError("the store is open for reading only")
+        return self.tables.merge()
+
+    def fork(self, root: str, **options) -> Engine:
+        """A store of its own that starts with everything in this one."""
+        self.tables.fork(root)
+        return Engine(self.spark, root, **({"dimension": self.dimension, "embedder": self.embedder, "decay": self.decay, "clock": self.clock, "stale_seconds": self.stale_seconds} | options))
+
     # store
 
     def close(self) -> None:
         self.spark.catalog.clearCache()
 
     def metadata(self) -> dict:
-        return self._one("Meta", "identity") or {}
+        """The stamp that the first writer left; empty where there is none."""
+        files = self.tables.files
+        return files.read("meta.json") if files.exists("meta.json") else {}
 
     def config(self) -> dict:
         return {"dimension": self.dimension, "read_only": self.read_only, "decay": self.decay, "stale_seconds": self.stale_seconds}
@@ -167,13 +204,15 @@ class Engine:
 
     @mutates
     def delete_collective(self, id: str) -> None:
+        """With everything in it, as one change; ids never leave the executors."""
         self._need("Collective", id)
-        rows = [("Collective", "Deleted", id, id, None, False)]
-        for kind in ("Experience", "Relation", "Insight", "Activity", "Decay"):
-            keys = self._state(kind).where(F.col("collective_id") == id).select("entity_id").collect()  # ids of one namespace, which become one append
-            rows += [(kind, "Deleted", r[0], id, None, False) for r in keys]
-        self._append(rows)
+        parts = []
+        for kind in ("Collective", "Experience", "Relation", "Insight", "Activity", "Decay"):
+            keys = self.tables.state(kind, id).select("entity_id", F.lit(id).alias("collective_id"))
+            parts.append(self._append_table(kind, keys, "Deleted", None, False))
+        self._commit(*parts)
 
+    @mutates
     def set_decay_config(self, collective_id: str, config: DecayConfig) -> None:
         config.validate()
         w = config.weights or (None, None)
@@ -186,7 +225,7 @@ class Engine:
     # experiences
 
     def _experiences(self, collective_id: str) -> DataFrame:
-        return self.table("Experience").where(F.col("collective_id") == collective_id).withColumn("n_applications", total_applications(F.col("applications")))
+        return self.table("Experience", collective_id).withColumn("n_applications", total_applications(F.col("applications")))
 
     @mutates
     def record_experience(self, collective_id: str, content: str, embedding: list[float] | None = None, type_tag: int = 8, type_payload: str | None = None, importance: float = 0.5, confidence: float = 0.5, domain: list[str] = (), related_files: list[str] = (), source_agent: str = "agent", source_task: str | None = None) -> str:
@@ -198,16 +237,29 @@ class Engine:
         self._append([("Experience", "Created", body["id"], collective_id, body, True)])
         return body["id"]
 
+    @mutates
     def record_experiences(self, rows: DataFrame) -> DataFrame:
-        """Many at once: one append of the valid rows; returns the rejected ones with their codes."""
-        if self.read_only:
-            raise ReadOnlyError("the store is open for reading only")
-        good, bad = validation.split(rows, validation.experience_rules(self.dimension))
-        seq, now = self._last_seq(), self.clock()
-        # sequence numbers without a global sort: positions within write partitions after their totals
-        numbered = good.rdd.zipWithIndex().map(lambda x: (x[1] + seq + 1, x[0]["id"], x[0]["collective_id"], json.dumps(x[0].asDict(True)))).toDF("seq long, entity_id string, collective_id string, payload string")
-        numbered.select("seq", F.lit("Experience").alias("entity_type"), F.lit("Created").alias("event_type"), "entity_id", "collective_id", F.lit(now).alias("ts_ms"), F.lit(self.instance_id).alias("origin"), F.lit(True).alias("visible"), "payload").write.mode("append").parquet(self.log_path)
-        return bad
+        """Many at once: one change with the valid rows; returns the rejected ones with their codes.
+
+        A collective that isn't there is a code too.  Rows without an id get one, rows
+        without a vector get the embedder's, in Arrow batches.
+        """
+        rows = rows.withColumn("id", F.coalesce("id", F.expr("uuid()"))) if "id" in rows.columns else rows.withColumn("id", F.expr("uuid()"))
+        if not isinstance(self.embedder, ExternalEmbedder):
+            rows = rows.where(F.col("embedding").isNotNull()).unionByName(rows.where(F.col("embedding").isNull()).withColumn("embedding", embed_column(self.embedder)(F.col("content"))))
+        known = self.table("Collective").select(F.col("id").alias("collective_id"), F.col("embedding_dimension").alias("_dimension"))
+        marked = rows.join(known, "collective_id", "left").withColumn("violations", validation.violations(validation.experience_rules(F.coalesce("_dimension", F.lit(self.dimension))) | {"collective_missing": F.col("_dimension").isNull()})).drop("_dimension")
+        good = marked.where(F.size("violations") == 0).select(F.col("id").alias("entity_id"), "collective_id", F.struct(*S.names_of("Experience")).alias("body"))
+        self._commit(self._append_table("Experience", good, "Created", "body"))
+        return marked.where(F.size("violations") > 0).select(*rows.columns, "violations")
+
+    @mutates
+    def load(self, kind: str, rows: DataFrame) -> int:
+        """Rows of any kind as they are, as one change that watchers and peers don't see; returns how many."""
+        key = {"Activity": F.concat_ws("/", "collective_id", "agent_id"), "Decay": F.col("collective_id")}.get(kind, F.col("id") if "id" in rows.columns else F.lit(None))
+        own = F.col("id") if kind == "Collective" else F.col("collective_id")
+        body = F.struct(*[(F.col(c) if c in rows.columns else F.lit(None)).alias(c) for c in S.names_of(kind)])
+        return self._commit(self._append_table(kind, rows.select(key.alias("entity_id"), own.alias("collective_id"), body.alias("body")), "Created", "body", False))
 
     def get_experience(self, id: str) -> dict | None:
         return self._one("Experience", id)
@@ -218,7 +270,7 @@ class Engine:
         if set(patch) - allowed:
             raise ValidationError("InvalidField", str(set(patch) - allowed))
         body = self._need("Experience", id) | {k: v for k, v in patch.items() if v is not None}
-        self._check(body, S.EXPERIENCE, validation.experience_rules(len(body["embedding"])))
+        self._check(body, S.EXPERIENCE, {k: c for k, c in validation.experience_rules(len(body["embedding"])).items() if k in validation.OF_UPDATES})
         self._append([("Experience", "Archived" if patch.get("archived") else "Updated", id, body["collective_id"], body, True)])
 
     def archive_experience(self, id: str) -> None:
@@ -230,8 +282,10 @@ class Engine:
     @mutates
     def delete_experience(self, id: str) -> None:
         coll = self._need("Experience", id)["collective_id"]
-        edges = graph.cascade(self.table("Relation"), self.spark.createDataFrame([(id,)], "id string")).collect()
-        self._append([("Experience", "Deleted", id, coll, None, True), *(("Relation", "Deleted", r[0], coll, None, False) for r in edges)])
+        gone = self.spark.createDataFrame([(id,)], "id string")
+        edges = graph.touching(self.table("Relation"), F.broadcast(gone)).select(F.col("id").alias("entity_id"), "collective_id")
+        own = gone.select(F.col("id").alias("entity_id"), F.lit(coll).alias("collective_id"))
+        self._commit(self._append_table("Experience", own, "Deleted", None), self._append_table("Relation", edges, "Deleted", None, False))
 
     @mutates
     def reinforce_experience(self, id: str) -> int:
@@ -294,13 +348,41 @@ class Engine:
         a, b = self._need("Experience", source_id), self._need("Experience", target_id)
         if a["collective_id"] != b["collective_id"]:
             raise ValidationError("InvalidField", "both ends must be of one collective")
-        same = self.table("Relation").where((F.col("source_id") == source_id) & (F.col("target_id") == target_id) & (F.col("relation_type") == relation_type))
+        same = self.table("Relation", a["collective_id"]).where((F.col("source_id") == source_id) & (F.col("target_id") == target_id) & (F.col("relation_type") == relation_type))
         if not same.isEmpty():
             raise ValidationError("InvalidField", "the relation exists")
         body["collective_id"] = a["collective_id"]
         self._append([("Relation", "Created", body["id"], a["collective_id"], body, True)])
         return body["id"]
 
+    @mutates
+    def store_relations(self, rows: DataFrame) -> DataFrame:
+        """Many at once (id, source_id, target_id, relation_type, strength, metadata): one change with the valid ones; returns the others with their codes."""
+        have = set(rows.columns)
+        rows = rows.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in ("id", "source_id", "target_id", "relation_type", "strength", "metadata")])
+        ends = self.table("Experience").select("id", "collective_id")
+        joined = graph.with_collectives(rows, ends)
+        held = self.table("Relation").select("source_id", "target_id", "relation_type").withColumn("_held", F.lit(True))
+        # of equal new ones the first by id
+        first = rows.groupBy("source_id", "target_id", "relation_type").agg(F.min("id").alias("_first"))
+        key = ["source_id", "target_id", "relation_type"]
+        rules = validation.relation_rules() | {
+            "type_unknown": ~F.coalesce(F.col("relation_type").isin(*S.RELATION_TYPES), F.lit(False)),
+            "end_missing": F.col("source_collective").isNull() | F.col("target_collective").isNull(),
+            "collectives_differ": F.col("source_collective") != F.col("target_collective"),
+            "relation_exists": F.col("_held").isNotNull() | (F.col("id") != F.col("_first")),
+        }
+        marked = joined.join(held, key, "left").join(first, key, "left").withColumn("violations", validation.violations(rules)).withColumn("created_at_ms", F.lit(self.clock())).withColumn("collective_id", F.col("source_collective"))
+        good = marked.where(F.size("violations") == 0).select(F.col("id").alias("entity_id"), "collective_id", F.struct(*S.names_of("Relation")).alias("body"))
+        self._commit(self._append_table("Relation", good, "Created", "body"))
+        return marked.where(F.size("violations") > 0).select(*rows.columns, "violations")
+
+    @mutates
+    def delete_relations(self, ids: DataFrame) -> int:
+        """Many at once (id); returns how many there were."""
+        gone = self.table("Relation").select("id", "collective_id").join(ids.select("id").distinct(), "id", "left_semi")
+        return self._commit(self._append_table("Relation", gone.withColumnRenamed("id", "entity_id"), "Deleted", None))
+
     def get_relation(self, id: str) -> dict | None:
         return self._one("Relation", id)
 
@@ -310,13 +392,14 @@ class Engine:
 
     def get_related_experiences(self, experience_id: str, direction: str = "Both", relation_type: str | None = None) -> DataFrame:
         anchor = self.spark.createDataFrame([(experience_id,)], "id string")
-        return graph.related(self.table("Relation"), self.table("Experience"), direction, relation_type, anchor)
+        coll = (self._one("Experience", experience_id) or {}).get("collective_id", "")  # both ends are of one collective
+        return graph.related(self.table("Relation", coll).drop("collective_id"), self.table("Experience", coll), direction, relation_type, anchor)
 
     get_related_experiences_filtered = get_related_experiences
 
     def list_relations(self, collective_id: str, limit: int, offset: int = 0) -> DataFrame:
         s = self._experiences(collective_id).select(F.col("id").alias("source_id"), F.col("ts_ms").alias("o"))
-        return recall.page(self.table("Relation").join(s, "source_id"), limit, offset, F.asc("o"), F.asc("source_id"), F.asc("id")).drop("o")
+        return recall.page(self.table("Relation", collective_id).join(s, "source_id"), limit, offset, F.asc("o"), F.asc("source_id"), F.asc("id")).drop("o")
 
     # insights
 
@@ -326,7 +409,7 @@ class Engine:
         now = self.clock()
         body = {"id": new_id(), "collective_id": collective_id, "content": content, "embedding": self.embedder.embed(content) if embedding is None else list(map(float, embedding)), "source_experience_ids": list(source_experience_ids), "insight_type": insight_type, "confidence": float(confidence), "domain": list(domain), "created_at_ms": now, "updated_at_ms": now}
         self._check(body, S.INSIGHT, validation.insight_rules(dimension))
-        bad = graph.source_violations(self.spark.createDataFrame([body], S.INSIGHT), self.table("Experience")).collect()
+        bad = graph.source_violations(self.spark.createDataFrame([body], S.INSIGHT), self.table("Experience")).collect()  # at most 100 sources
         if any(r["reason"] == "missing" for r in bad):
             raise NotFoundError("Experience", bad[0]["source_id"])
         if bad:
@@ -334,14 +417,27 @@ class Engine:
         self._append([("Insight", "Created", body["id"], collective_id, body, True)])
         return body["id"]
 
+    @mutates
+    def store_insights(self, rows: DataFrame) -> DataFrame:
+        """Many at once, as `store_insight` has them: one change with the valid ones; returns the others with their codes."""
+        known = self.table("Collective").select(F.col("id").alias("collective_id"), F.col("embedding_dimension").alias("_dimension"))
+        wrong = graph.source_violations(rows, self.table("Experience")).groupBy(F.col("insight_id").alias("id")).agg(F.max("reason").alias("_source"))
+        now = F.lit(self.clock())
+        rules = validation.insight_rules(F.coalesce("_dimension", F.lit(self.dimension))) | {"collective_missing": F.col("_dimension").isNull(), "source_wrong": F.col("_source").isNotNull()}
+        marked = rows.join(known, "collective_id", "left").join(wrong, "id", "left").withColumn("violations", validation.violations(rules)).withColumn("created_at_ms", now).withColumn("updated_at_ms", now)
+        body = F.struct(*[F.col(c) if c in marked.columns else F.lit(None).alias(c) for c in S.names_of("Insight")])
+        good = marked.where(F.size("violations") == 0).select(F.col("id").alias("entity_id"), "collective_id", body.alias("body"))
+        self._commit(self._append_table("Insight", good, "Created", "body"))
+        return marked.where(F.size("violations") > 0).select(*rows.columns, "violations")
+
     def get_insight(self, id: str) -> dict | None:
         return self._one("Insight", id)
 
     def get_insights(self, collective_id: str, query: list[float], k: int) -> DataFrame:
-        return recall.insights_like(self.table("Insight").where(F.col("collective_id") == collective_id), self._query(collective_id, query), k)
+        return recall.insights_like(self.table("Insight", collective_id), self._query(collective_id, query), k)
 
     def list_insights(self, collective_id: str, limit: int, offset: int = 0) -> DataFrame:
-        return recall.page(self.table("Insight").where(F.col("collective_id") == collective_id), limit, offset, F.asc("id"))
+        return recall.page(self.table("Insight", collective_id), limit, offset, F.asc("id"))
 
     @mutates
     def delete_insight(self, id: str) -> None:
@@ -370,32 +466,35 @@ class Engine:
     def get_active_agents(self, collective_id: str) -> DataFrame:
         self._need("Collective", collective_id)
         now = self.spark.range(1).select(F.lit(self.clock()).alias("now_ms"))
-        return presence.active(self.table("Activity").where(F.col("collective_id") == collective_id), now, self.stale_seconds)
+        return presence.active(self.table("Activity", collective_id), now, self.stale_seconds)
 
     def get_context_candidates(self, collective_id: str, query: list[float], request: ContextRequest = ContextRequest()) -> ContextCandidates:
-        own = F.col("collective_id") == collective_id
-        return candidates(request, self._experiences(collective_id), self._query(collective_id, query), self.table("Insight").where(own), self.table("Relation"), self.table("Activity").where(own), self.clock(), self.decay_config(collective_id), self.stale_seconds)
+        own = [self.table(kind, collective_id) for kind in ("Insight", "Relation", "Activity")]
+        return candidates(request, self._experiences(collective_id), self._query(collective_id, query), *own, self.clock(), self.decay_config(collective_id), self.stale_seconds)
 
     # the log's readers
 
     def watch_experiences(self, collective_id: str, filter: WatchFilter = WatchFilter()) -> DataFrame:
-        return W.watch(self.spark, self.log_path, collective_id, filter, S.EXPERIENCE)
+        """A stream of experience events; one that stays silent where watching is switched off."""
+        rows = W.watch(self.spark, self.log_path, collective_id, filter)
+        return rows if self.watch_enabled else rows.where(F.lit(False))
 
     watch_experiences_filtered = watch_experiences
 
     def get_current_sequence(self) -> int:
-        return self._last_seq()
+        return self.tables.last_seq()
 
-    def visible_log(self) -> DataFrame:
-        return self.log().where("visible")
+    def visible_log(self, since: int = 0) -> DataFrame:
+        return self.log(since).where("visible")
 
     def poll_changes(self, since: int, limit: int = 1000) -> tuple[DataFrame, int]:
         """Experience events of the next `limit` log rows, and the sequence to go on from."""
-        page = L.scan(self.visible_log(), since, limit)
+        page = L.scan(self.visible_log(since), since, limit)
         return page.where(F.col("entity_type") == "Experience"), page.agg(F.max("seq")).first()[0] or since
 
     poll_changes_batch = poll_changes
 
+    @mutates
     def save_cursor(self, peer_id: str, direction: str, last_sequence: int) -> None:
         self._append([("Cursor", "Updated", f"{peer_id}/{direction}", None, {"peer_id": peer_id, "direction": direction, "last_sequence": last_sequence}, False)])
 
@@ -403,29 +502,29 @@ class Engine:
         c = self._one("Cursor", f"{peer_id}/{direction}")
         return c["last_sequence"] if c else 0
 
+    def list_cursors(self) -> DataFrame:
+        return self.table("Cursor").orderBy("peer_id", "direction")
+
     @mutates
     def compact_wal(self) -> int:
-        """Drops superseded rows that every peer has pulled; returns how many.  Without a peer none go."""
-        low = self.table("Cursor").where("direction = 'push'").agg(F.min("last_sequence")).first()[0] or 0
-        rows = self.log()
-        newest = rows.groupBy("entity_type", "entity_id").agg(F.max("seq").alias("newest"))
-        keep = rows.join(newest, ["entity_type", "entity_id"]).where((F.col("seq") > low) | (F.col("seq") == F.col("newest"))).select(rows.columns)
-        before, after = rows.count(), keep.count()
-        if low and before > after:
-            fresh = f"{self.root}/log-{uuid.uuid4().hex}"
-            keep.write.parquet(fresh)
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path
-            fs = path(fresh).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            fs.rename(path(self.log_path), path(f"{fresh}-old"))
-            fs.rename(path(fresh), path(self.log_path))
-            fs.delete(path(f"{fresh}-old"), True)
-            self.spark.catalog.refreshByPath(self.log_path)
-            return before - after
-        return 0
+        """Drops changes that every peer has been sent; returns their rows.  Without a peer none go, nor with one that was never sent any.
+
+        The state is merged first, so nothing but history is lost.  Files go whole, so
+        readers, pollers and streams that have read them are not disturbed.
+        """
+        sent = self.table("Cursor").groupBy("peer_id").agg(F.max(F.when(F.col("direction") == "push", F.col("last_sequence"))).alias("n"))
+        low = sent.agg(F.min(F.coalesce("n", F.lit(0)))).first()[0] or 0
+        if not low or not self.tables.files.names("log"):
+            return 0
+        first = min(int(n.partition("-")[0]) for n in self.tables.files.names("log"))
+        if first > low:
+            return 0
+        self.tables.merge()
+        return self.tables.drop_log(low)
 
     # changes from peers: no validation, not offered to peers again
 
+    @mutates
     def apply_synced(self, kind: str, event: str, id: str, collective_id: str | None, body: dict | None, origin: str) -> None:
         self._append([(kind, event, id, collective_id, body, True)], origin)
 
@@ -474,6 +573,6 @@ class ChangePoller:
         return rows.orderBy("seq").collect()  # at most `limit` rows
 
     def poll_sync_events(self, engine: Engine) -> list:
-        rows = L.scan(engine.visible_log(), self.last_sequence, self.limit).orderBy("seq").collect()
+        rows = L.scan(engine.visible_log(self.last_sequence), self.last_sequence, self.limit).orderBy("seq").collect()
         self.last_sequence = rows[-1]["seq"] if rows else self.last_sequence
         return rows

@@ -13,15 +13,15 @@ from mnemora.schemas import LOG
 
 def stream(spark: SparkSession, log_dir: str, collective_id: str | None = None, files_per_trigger: int = 16) -> DataFrame:
     """Visible log rows as they are appended; back-pressure by files per trigger, no loss."""
-    rows = spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_trigger).parquet(log_dir).where("visible")
+    rows = spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").parquet(log_dir).where("visible")
     return rows if collective_id is None else rows.where(F.col("collective_id") == collective_id)
 
 
-def watch(spark: SparkSession, log_dir: str, collective_id: str | None, filter: WatchFilter, schema: str) -> DataFrame:
+def watch(spark: SparkSession, log_dir: str, collective_id: str | None, filter: WatchFilter) -> DataFrame:
     """Experience events with their row (none for deletions); the filter runs before any sink."""
-    full = stream(spark, log_dir, collective_id).where("entity_type = 'Experience'").withColumn("row", F.from_json("payload", schema))
-    inner = full.select("seq", "entity_id", "event_type", "ts_ms", "row", "row.domain", "row.type_tag", "row.importance")
-    return inner.where((F.col("event_type") == "Deleted") | filter.column()).select("seq", "entity_id", "event_type", "ts_ms", "row")
+    full = stream(spark, log_dir, collective_id).where("entity_type = 'Experience'").withColumnRenamed("experience", "row")
+    inner = full.select("seq", "entity_id", "event_type", F.col("ts_ms").alias("event_ms"), "row", "row.*").drop("ts_ms")
+    return inner.where((F.col("event_type") == "Deleted") | filter.column()).select("seq", "entity_id", "event_type", F.col("event_ms").alias("ts_ms"), "row")
 
 
 def start(df: DataFrame, handle, checkpoint: str, once: bool = True):
@@ -30,11 +30,6 @@ def start(df: DataFrame, handle, checkpoint: str, once: bool = True):
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
-def rates(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Events by window and type, with late rows dropped after the watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
 def drain(spark: SparkSession, events_path: str) -> DataFrame:
     """Streams a table of events to the end: event_type, n."""
     schema = spark.read.parquet(events_path).schema
