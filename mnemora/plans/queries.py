@@ -11,7 +11,8 @@ from mnemora.functions import scoring as S
 from mnemora.functions import vectors as V
 from mnemora.operators import graph, log as L, recall as R, validation
 from mnemora.operators.filters import SearchFilter, WatchFilter, fresh, one_of, overlap
-from mnemora.schemas import EXPERIENCE_TYPES, LEGACY_BUCKET, U32_MAX
+from mnemora.schemas import EXPERIENCE as S_EXPERIENCE, EXPERIENCE_TYPES, LEGACY_BUCKET, U32_MAX
+from mnemora.plans.scratch import relation_rows, store, text
 from mnemora.sources import adapters as A
 
 NOW, DAY = A.NOW, A.DAY
@@ -52,7 +53,7 @@ def r6(c) -> F.Column:
 
 def _search(name: str, k: int, where: str, flt: SearchFilter, mode: str = "reference") -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        exp = A.experiences(spark, sf_dir)
+        exp = (A.vectors if flt.domains is None else A.experiences)(spark, sf_dir)
         return _hits(R.search_filtered(exp, _q0(exp), k, flt, mode))
 
     run.__name__ = name
@@ -83,46 +84,37 @@ def _weighted_sql(a: float, b: float, k: int) -> str:
 
 @query(_weighted_sql(0.7, 0.3, 10))
 def search_weighted(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir)
+    exp = A.vectors(spark, sf_dir)
     return _hits(R.search_weighted(exp, _q0(exp), 10, (0.7, 0.3), NOW, CONFIG).withColumn("score", r6("score")), "score")
 
 
 @query(_weighted_sql(0.5, 0.5, 20))
 def search_dispatch(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir)
+    exp = A.vectors(spark, sf_dir)
     return _hits(R.search(exp, _q0(exp), 20, weights=(0.5, 0.5), config=CONFIG, now_ms=NOW).withColumn("score", r6("score")), "score")
 
 
 @query("SELECT id, round(similarity, 6) AS similarity FROM (SELECT * FROM sim ORDER BY similarity DESC, id LIMIT 40) WHERE NOT archived ORDER BY similarity DESC, id LIMIT 20")
 def search_beta_zero_equals_similar(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir)
+    exp = A.vectors(spark, sf_dir)
     return _hits(R.search(exp, _q0(exp), 20, weights=(1.0, 0.0), config=CONFIG, now_ms=NOW))
 
 
 @query("SELECT id, round(similarity, 6) AS similarity, row_number() OVER (ORDER BY score DESC, similarity DESC, id) AS rank FROM (SELECT c.id, c.similarity, 0.2 * least(greatest(c.similarity, 0), 1) + 0.8 * round(n.energy, 1) AS score FROM (SELECT * FROM sim ORDER BY similarity DESC, id LIMIT 64) c JOIN nrg n ON n.id = c.id) ORDER BY rank LIMIT 16")
 def rerank_tie_order(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir)
+    exp = A.vectors(spark, sf_dir)
     c = R.candidates(exp, _q0(exp), 64).withColumn("score", S.blend(F.col("similarity"), F.round(R.row_energy(NOW, CONFIG), 1), 0.2, 0.8)).withColumn("all", F.lit(1))
     return _hits(V.top_per(c, ["all"], 16, F.desc("score"), F.desc("similarity"), F.asc("id")), F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT p.query_id, p.id, round(p.similarity, 6) AS similarity, p.rank FROM (SELECT a.id AS query_id, b.id, list_cosine_similarity(b.embedding, a.embedding) AS similarity, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(b.embedding, a.embedding) DESC, b.id) AS rank FROM exp a JOIN exp b ON a.collective_id = b.collective_id WHERE a.id % 25 = 0) p WHERE rank <= 5")
-def search_batch_per_collective(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir)
-    q = exp.where("id % 25 = 0").select(F.col("id").alias("query_id"), "collective_id", "embedding")  # the batch of query vectors
-    return V.nearest(q, exp, 5).select("query_id", "id", r6("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"))
-
-
 @query("SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS similarity FROM exp a JOIN exp b ON a.collective_id = b.collective_id AND a.id < b.id")
 def cosine_matrix(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir).select("id", "collective_id", "embedding")
-    a, b = exp.select(F.col("id").alias("a"), "collective_id", F.col("embedding").alias("x")), exp.select(F.col("id").alias("b"), "collective_id", F.col("embedding").alias("y"))
-    return a.join(b, "collective_id").where("a < b").select("a", "b", r6(V.similarity(F.col("x"), F.col("y"))).alias("similarity"))
+    return V.block_products(A.vectors(spark, sf_dir).select("id", "collective_id", "embedding")).select("a", "b", r6("similarity").alias("similarity"))
 
 
 @query("SELECT id, round(similarity, 6) AS similarity, importance, archived FROM sim ORDER BY sim.similarity DESC, id LIMIT 100")
 def scored_candidates(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir)
+    exp = A.vectors(spark, sf_dir)
     return _hits(R.candidates(exp, _q0(exp), 100), "importance", "archived")
 
 
@@ -135,14 +127,7 @@ def hits_hydrated(spark, sf_dir):
 
 @query("SELECT i.id, round(list_cosine_similarity(i.embedding, q), 6) AS similarity FROM ins i, q0 ORDER BY list_cosine_similarity(i.embedding, q) DESC, i.id LIMIT 5")
 def insights_topk(spark, sf_dir):
-    return _hits(R.insights_like(A.insights(spark, sf_dir), _q0(A.experiences(spark, sf_dir)), 5))
-
-
-@query("SELECT a.id AS query_id, 1.0::DOUBLE AS recall FROM exp a WHERE id % 50 = 0")
-def recall_at_k(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir)
-    q = exp.where("id % 50 = 0").select(F.col("id").alias("query_id"), "collective_id", "embedding")  # the batch of query vectors
-    return V.recall_at(V.nearest(q, exp, 10), R.batch_top(exp, q, 10), "query_id", 10).select("query_id", "recall")
+    return _hits(R.insights_like(A.insights(spark, sf_dir), _q0(A.vectors(spark, sf_dir)), 5))
 
 
 def _batch(exp: DataFrame) -> DataFrame:
@@ -157,14 +142,14 @@ def _batch_sql(k: int, more: str = "") -> str:
 
 @query(_batch_sql(5))
 def search_batch_stated(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir)
+    exp = A.vectors(spark, sf_dir)
     return V.nearest(_batch(exp), exp, 5).select("query_id", "id", r6("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(_batch_sql(10, ", (count(*) OVER (PARTITION BY query_id)) / 10.0::DOUBLE AS recall"))
 def recall_neighbours(spark, sf_dir):
     """The neighbours found, and the share of the true ones among them: the SQL computes the neighbours too."""
-    exp = A.experiences(spark, sf_dir)
+    exp = A.vectors(spark, sf_dir)
     found = V.nearest(_batch(exp), exp, 10)
     share = V.recall_at(found, R.batch_top(exp, _batch(exp), 10), "query_id", 10)
     return found.join(share, "query_id").select("query_id", "id", r6("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"), "recall")
@@ -172,7 +157,7 @@ def recall_neighbours(spark, sf_dir):
 
 @query("SELECT quantile_disc(round(similarity, 6), 0.5) AS p50, quantile_disc(round(similarity, 6), 0.95) AS p95, quantile_disc(round(similarity, 6), 0.99) AS p99 FROM sim")
 def percentiles(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir)
+    exp = A.vectors(spark, sf_dir)
     s = R.scored(exp, _q0(exp)).select(r6("similarity").alias("s"))
     return s.agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY s)").alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
 
@@ -182,12 +167,12 @@ def percentiles(spark, sf_dir):
 
 @query("SELECT id, round(energy, 6) AS energy FROM nrg")
 def energy_all(spark, sf_dir):
-    return A.experiences(spark, sf_dir).select("id", r6(R.row_energy(NOW, CONFIG)).alias("energy"))
+    return A.vectors(spark, sf_dir).select("id", r6(R.row_energy(NOW, CONFIG)).alias("energy"))
 
 
 @query("SELECT id, round(energy, 6) AS energy FROM nrg WHERE id = 42")
 def energy_single(spark, sf_dir):
-    return A.experiences(spark, sf_dir).where("id = 42").select("id", r6(R.row_energy(NOW, CONFIG)).alias("energy"))
+    return A.vectors(spark, sf_dir).where("id = 42").select("id", r6(R.row_energy(NOW, CONFIG)).alias("energy"))
 
 
 def _configs(spark):
@@ -199,7 +184,7 @@ _CONFIG_SQL = "cfg AS (SELECT * FROM (VALUES (1, 86400.0, 0.0), (2, 604800.0, 1.
 
 @query(f", {_CONFIG_SQL} SELECT e.id, round(least(greatest(importance * (1 + coalesce(freq_weight, 0.3)::DOUBLE * ln(1 + n_applications)) * exp(-ln(2) / coalesce(half_life_s, 1209600.0)::DOUBLE * (greatest({NOW} - last_reinforced_ms, 0) / 1000.0)), 0), 1), 6) AS energy FROM exp e LEFT JOIN cfg USING (collective_id)")
 def energy_by_collective_config(spark, sf_dir):
-    e = A.experiences(spark, sf_dir).join(F.broadcast(_configs(spark)), "collective_id", "left")
+    e = A.vectors(spark, sf_dir).join(F.broadcast(_configs(spark)), "collective_id", "left")
     half, freq = F.coalesce("half_life_s", F.lit(CONFIG.half_life_s)), F.coalesce("freq_weight", F.lit(CONFIG.freq_weight))
     return e.select("id", r6(S.energy(F.col("importance"), F.col("n_applications"), F.col("last_reinforced_ms"), NOW, half, freq)).alias("energy"))
 
@@ -216,30 +201,30 @@ def weights_resolution(spark, sf_dir):
     req_a, req_b = F.when(i % 3 == 0, 0.5), F.when(i % 3 == 0, 0.5)
     def_a, def_b = F.when(i % 2 == 0, 0.7).otherwise(0.9), F.when(i % 2 == 0, 0.3).otherwise(0.9)
     ok = S.weights_valid(def_a, def_b)
-    out = A.experiences(spark, sf_dir).select("id", F.coalesce(req_a, F.when(ok, def_a)).alias("w_similarity"), F.coalesce(req_b, F.when(ok, def_b)).alias("w_energy"))
+    out = A.vectors(spark, sf_dir).select("id", F.coalesce(req_a, F.when(ok, def_a)).alias("w_similarity"), F.coalesce(req_b, F.when(ok, def_b)).alias("w_energy"))
     return out.withColumn("plain", F.coalesce(F.col("w_energy") == 0, F.lit(True)))
 
 
 @query("SELECT id, least(greatest((id % 7 - 3)::DOUBLE / 2, 0), 1)::DOUBLE AS x FROM exp")
 def clamp01(spark, sf_dir):
-    return A.experiences(spark, sf_dir).select("id", S.clamp01((F.col("id") % 7 - 3).cast("double") / 2).alias("x"))
+    return A.vectors(spark, sf_dir).select("id", S.clamp01((F.col("id") % 7 - 3).cast("double") / 2).alias("x"))
 
 
 @query("SELECT n.id, round(0.6 * least(greatest(s.similarity, 0), 1) + 0.4 * n.energy, 6) AS score FROM nrg n JOIN sim s ON s.id = n.id")
 def blend_score(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir)
+    exp = A.vectors(spark, sf_dir)
     return R.scored(exp, _q0(exp)).select("id", r6(S.blend(F.col("similarity"), R.row_energy(NOW, CONFIG), 0.6, 0.4)).alias("score"))
 
 
 @query("SELECT id, least(app_a + app_b, 4294967295)::BIGINT AS applications FROM exp")
 def applications_total(spark, sf_dir):
-    return A.experiences(spark, sf_dir).select("id", S.total_applications(F.col("applications")).alias("applications"))
+    return A.vectors(spark, sf_dir).select("id", S.total_applications(F.col("applications")).alias("applications"))
 
 
 @query("SELECT id, least(app_a * 4294967295 + app_b, 4294967295)::BIGINT AS n, greatest(ts_ms - last_reinforced_ms, 0)::BIGINT AS idle FROM exp")
 def saturating_sum(spark, sf_dir):
     m = F.transform_values("applications", lambda k, v: F.when(k == "A", v * U32_MAX).otherwise(v))
-    return A.experiences(spark, sf_dir).select("id", S.total_applications(m).alias("n"), F.greatest(F.col("ts_ms") - F.col("last_reinforced_ms"), F.lit(0).cast("long")).alias("idle"))
+    return A.vectors(spark, sf_dir).select("id", S.total_applications(m).alias("n"), F.greatest(F.col("ts_ms") - F.col("last_reinforced_ms"), F.lit(0).cast("long")).alias("idle"))
 
 
 @query("SELECT i AS attempt, least(500.0 * pow(2, i - 1), 30000)::DOUBLE AS wait_ms FROM range(1, 11) t(i)", tables=False)
@@ -249,12 +234,12 @@ def backoff_schedule(spark, sf_dir):
 
 @query(f"SELECT id, round(energy, 6) AS energy FROM nrg WHERE NOT archived AND energy < 0.2 ORDER BY nrg.energy, ts_ms, id LIMIT 50")
 def list_cold(spark, sf_dir):
-    return R.cold(A.experiences(spark, sf_dir), 0.2, 50, NOW, CONFIG).select("id", r6("energy").alias("energy"))
+    return R.cold(A.vectors(spark, sf_dir), 0.2, 50, NOW, CONFIG).select("id", r6("energy").alias("energy"))
 
 
 @query("SELECT id FROM nrg WHERE NOT archived AND energy < 0.05")
 def cold_filter(spark, sf_dir):
-    return A.experiences(spark, sf_dir).where(~F.col("archived") & (R.row_energy(NOW, CONFIG) < 0.05)).select("id")
+    return A.vectors(spark, sf_dir).where(~F.col("archived") & (R.row_energy(NOW, CONFIG) < 0.05)).select("id")
 
 
 # listings, lookups
@@ -262,7 +247,7 @@ def cold_filter(spark, sf_dir):
 
 @query("SELECT id, ts_ms FROM (SELECT * FROM exp ORDER BY ts_ms DESC, id DESC LIMIT 40) WHERE NOT archived ORDER BY ts_ms DESC, id DESC LIMIT 20")
 def recent(spark, sf_dir):
-    return R.recent(A.experiences(spark, sf_dir), 20).select("id", "ts_ms")
+    return R.recent(A.vectors(spark, sf_dir), 20).select("id", "ts_ms")
 
 
 @query("SELECT id, ts_ms FROM (SELECT * FROM exp WHERE collective_id = 3 ORDER BY ts_ms DESC, id DESC LIMIT 20) WHERE NOT archived AND importance >= 0.3 AND list_has_any(domain, ['en']) ORDER BY ts_ms DESC, id DESC LIMIT 10")
@@ -272,12 +257,12 @@ def recent_filtered(spark, sf_dir):
 
 @query("SELECT id, ts_ms FROM exp WHERE collective_id = 2 ORDER BY ts_ms, id LIMIT 15 OFFSET 10")
 def list_experiences_page(spark, sf_dir):
-    return R.page(A.experiences(spark, sf_dir).where("collective_id = 2"), 15, 10, F.asc("ts_ms"), F.asc("id")).select("id", "ts_ms")
+    return R.page(A.vectors(spark, sf_dir).where("collective_id = 2"), 15, 10, F.asc("ts_ms"), F.asc("id")).select("id", "ts_ms")
 
 
 @query("SELECT rel.id, source_id, target_id FROM rel JOIN exp ON exp.id = source_id WHERE collective_id < 5 ORDER BY ts_ms, exp.id, rel.id LIMIT 10 OFFSET 5")
 def list_relations_page(spark, sf_dir):
-    s = A.experiences(spark, sf_dir).where("collective_id < 5").select(F.col("id").alias("source_id"), "ts_ms")
+    s = A.vectors(spark, sf_dir).where("collective_id < 5").select(F.col("id").alias("source_id"), "ts_ms")
     return R.page(A.relations(spark, sf_dir).join(s, "source_id"), 10, 5, F.asc("ts_ms"), F.asc("source_id"), F.asc("id")).select("id", "source_id", "target_id")
 
 
@@ -288,7 +273,7 @@ def list_insights_page(spark, sf_dir):
 
 @query("SELECT id FROM exp ORDER BY id LIMIT 25 OFFSET 100")
 def paginate(spark, sf_dir):
-    return R.page(A.experiences(spark, sf_dir), 25, 100, F.asc("id")).select("id")
+    return R.page(A.vectors(spark, sf_dir), 25, 100, F.asc("id")).select("id")
 
 
 @query("SELECT id, content, importance FROM exp WHERE id = 17")
@@ -308,7 +293,7 @@ def get_activity(spark, sf_dir):
 
 @query("SELECT id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM exp WHERE id = 5")
 def get_embedding(spark, sf_dir):
-    return A.experiences(spark, sf_dir).where("id = 5").select("id", F.posexplode("embedding").alias("pos", "x")).select("id", F.col("x").cast("double").alias("x"), F.col("pos").cast("long").alias("pos"))
+    return A.vectors(spark, sf_dir).where("id = 5").select("id", F.posexplode("embedding").alias("pos", "x")).select("id", F.col("x").cast("double").alias("x"), F.col("pos").cast("long").alias("pos"))
 
 
 @query("SELECT id, name, owner_id FROM coll ORDER BY id")
@@ -323,7 +308,7 @@ def collectives_by_owner(spark, sf_dir):
 
 @query("SELECT id, ts_ms FROM exp WHERE collective_id = 1 ORDER BY ts_ms, id")
 def experience_ids_in_order(spark, sf_dir):
-    return A.experiences(spark, sf_dir).where("collective_id = 1").orderBy("ts_ms", "id").select("id", "ts_ms")
+    return A.vectors(spark, sf_dir).where("collective_id = 1").orderBy("ts_ms", "id").select("id", "ts_ms")
 
 
 @query("SELECT id FROM ins WHERE collective_id = 4 ORDER BY id")
@@ -348,7 +333,7 @@ def activities_of_collective(spark, sf_dir):
 
 @query("SELECT collective_id, count(*) AS n FROM exp GROUP BY 1")
 def count_per_collective(spark, sf_dir):
-    return A.experiences(spark, sf_dir).groupBy("collective_id").agg(F.count(F.lit(1)).alias("n"))
+    return A.vectors(spark, sf_dir).groupBy("collective_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 _STATS = "SELECT collective_id, count(*) AS n, sum(octet_length(encode(content)))::BIGINT AS content_bytes, min(ts_ms) AS oldest_ms, max(ts_ms) AS newest_ms FROM exp GROUP BY 1"
@@ -361,20 +346,20 @@ def collective_stats(spark, sf_dir):
 
 @query("SELECT owner_id, count(DISTINCT c.id) AS collectives, count(exp.id) AS experiences FROM coll c LEFT JOIN exp ON exp.collective_id = c.id GROUP BY 1")
 def stats_and_owner(spark, sf_dir):
-    n = A.experiences(spark, sf_dir).groupBy(F.col("collective_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    n = A.vectors(spark, sf_dir).groupBy(F.col("collective_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return A.collectives(spark, sf_dir).join(n, "id", "left").groupBy("owner_id").agg(F.count(F.lit(1)).alias("collectives"), F.sum(F.coalesce("n", F.lit(0))).alias("experiences"))
 
 
 @query("SELECT id, len(embedding)::BIGINT AS dimension FROM exp")
 def experience_with_embedding(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir)
+    exp = A.vectors(spark, sf_dir)
     return exp.select("id").join(exp.select("id", "embedding"), "id", "left").select("id", F.size("embedding").cast("long").alias("dimension"))
 
 
 @query("SELECT type_tag, ['" + "', '".join(EXPERIENCE_TYPES) + "'][type_tag + 1] AS type_name, count(*) AS n FROM exp GROUP BY 1, 2")
 def type_tag_counts(spark, sf_dir):
     name = F.element_at(F.array(*map(F.lit, EXPERIENCE_TYPES)), (F.col("type_tag") + 1).cast("int"))
-    return A.experiences(spark, sf_dir).groupBy("type_tag", name.alias("type_name")).agg(F.count(F.lit(1)).alias("n"))
+    return A.vectors(spark, sf_dir).groupBy("type_tag", name.alias("type_name")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT id FROM exp WHERE list_has_any(domain, ['es', 'src1'])")
@@ -384,13 +369,13 @@ def tag_overlap(spark, sf_dir):
 
 @query("SELECT id FROM exp WHERE archived = false")
 def active_minus_deleted(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir)
+    exp = A.vectors(spark, sf_dir)
     return exp.select("id").join(exp.where("archived").select("id"), "id", "left_anti")
 
 
 @query("SELECT id FROM (SELECT id FROM sim ORDER BY similarity DESC, id LIMIT 20) UNION SELECT id FROM (SELECT id FROM exp ORDER BY ts_ms DESC, id DESC LIMIT 20)")
 def union_ids(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir)
+    exp = A.vectors(spark, sf_dir)
     return R.candidates(exp, _q0(exp), 20).select("id").union(exp.orderBy(F.desc("ts_ms"), F.desc("id")).limit(20).select("id")).distinct()
 
 
@@ -403,7 +388,7 @@ def idempotent_insert(spark, sf_dir):
 
 @query("SELECT id, unnest(list_transform(embedding, lambda x: round(x / sqrt(list_sum(list_transform(embedding, lambda y: y * y))), 6))) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM exp")
 def normalize_vectors(spark, sf_dir):
-    return A.experiences(spark, sf_dir).select("id", F.posexplode(V.normalize(F.col("embedding"))).alias("pos", "x")).select("id", r6("x").alias("x"), F.col("pos").cast("long").alias("pos"))
+    return A.vectors(spark, sf_dir).select("id", F.posexplode(V.normalize(F.col("embedding"))).alias("pos", "x")).select("id", r6("x").alias("x"), F.col("pos").cast("long").alias("pos"))
 
 
 @query("SELECT collective_id, pos - 1 AS pos, round(x, 6) AS x FROM means")
@@ -426,7 +411,7 @@ def sha256_prefix(spark, sf_dir):
 def schema_v2_to_v3(spark, sf_dir):
     from mnemora.sources.store import upgrade_v2
 
-    old = A.experiences(spark, sf_dir).select("id", F.col("n_applications").alias("applications"), "ts_ms")
+    old = A.vectors(spark, sf_dir).select("id", F.col("n_applications").alias("applications"), "ts_ms")
     return upgrade_v2(old).select("id", F.explode("applications").alias("instance", "n"), "last_reinforced_ms")
 
 
@@ -438,7 +423,7 @@ def _edge_sql(near: str, far: str, direction: str, where: str = "") -> str:
 
 
 def _related(spark, sf_dir, *args):
-    return graph.related(A.relations(spark, sf_dir), A.experiences(spark, sf_dir), *args).select("anchor", "id", "relation_id", "relation_type", "importance", "direction")
+    return graph.related(A.relations(spark, sf_dir), A.vectors(spark, sf_dir), *args).select("anchor", "id", "relation_id", "relation_type", "importance", "direction")
 
 
 @query(_edge_sql("source_id", "target_id", "Outgoing"))
@@ -466,7 +451,7 @@ _NEAR = "near AS (SELECT id FROM (SELECT id FROM sim ORDER BY similarity DESC, i
 
 @query(f", {_NEAR} SELECT DISTINCT r.id, source_id, target_id FROM edges r WHERE (source_id IN (SELECT id FROM near) OR target_id IN (SELECT id FROM near)) AND source_id IN (SELECT id FROM exp) AND target_id IN (SELECT id FROM exp)")
 def context_relations(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir)
+    exp = A.vectors(spark, sf_dir)
     ids = R.candidates(exp, _q0(exp), 100).select("id").union(exp.orderBy(F.desc("ts_ms"), F.desc("id")).limit(100).select("id")).distinct()
     return graph.context_relations(A.all_edges(spark, sf_dir), ids, exp).select("id", "source_id", "target_id")
 
@@ -478,22 +463,17 @@ def duplicate_edges(spark, sf_dir):
 
 @query("SELECT g.id, s.collective_id AS source_collective, t.collective_id AS target_collective FROM edges g LEFT JOIN exp s ON s.id = source_id LEFT JOIN exp t ON t.id = target_id WHERE s.collective_id <> t.collective_id")
 def cross_collective_edges(spark, sf_dir):
-    return graph.with_collectives(A.all_edges(spark, sf_dir), A.experiences(spark, sf_dir)).where("source_collective <> target_collective").select("id", "source_collective", "target_collective")
+    return graph.with_collectives(A.all_edges(spark, sf_dir), A.vectors(spark, sf_dir)).where("source_collective <> target_collective").select("id", "source_collective", "target_collective")
 
 
 @query("SELECT rel.id, s.collective_id FROM rel JOIN exp s ON s.id = source_id")
 def relation_collective(spark, sf_dir):
-    return graph.with_collectives(A.relations(spark, sf_dir), A.experiences(spark, sf_dir)).select("id", F.col("source_collective").alias("collective_id"))
+    return graph.with_collectives(A.relations(spark, sf_dir), A.vectors(spark, sf_dir)).select("id", F.col("source_collective").alias("collective_id"))
 
 
 @query("SELECT DISTINCT g.id FROM edges g WHERE source_id % 11 = 0 OR target_id % 11 = 0")
 def cascade_delete_set(spark, sf_dir):
-    return graph.cascade(A.all_edges(spark, sf_dir), A.experiences(spark, sf_dir).where("archived").select("id"))
-
-
-@query("SELECT DISTINCT id FROM (SELECT id FROM edges WHERE source_id < 250 UNION ALL SELECT id FROM edges WHERE target_id < 250)")
-def distinct_relations(spark, sf_dir):
-    return graph.touching(A.all_edges(spark, sf_dir), A.experiences(spark, sf_dir).where("id < 250").select("id")).select("id")
+    return graph.cascade(A.all_edges(spark, sf_dir), A.vectors(spark, sf_dir).where("archived").select("id"))
 
 
 _LIVE = "(SELECT id FROM exp WHERE NOT archived)"
@@ -501,19 +481,19 @@ _LIVE = "(SELECT id FROM exp WHERE NOT archived)"
 
 @query(f"SELECT DISTINCT id FROM (SELECT id FROM edges WHERE source_id IN {_LIVE} UNION ALL SELECT id FROM edges WHERE target_id IN {_LIVE})")
 def distinct_relations_live(spark, sf_dir):
-    return graph.touching(A.all_edges(spark, sf_dir), A.experiences(spark, sf_dir).where(~F.col("archived")).select("id")).select("id")
+    return graph.touching(A.all_edges(spark, sf_dir), A.vectors(spark, sf_dir).where(~F.col("archived")).select("id")).select("id")
 
 
 @query("SELECT i.id AS insight_id, s AS source_id, CASE WHEN e.id IS NULL THEN 'missing' ELSE 'foreign' END AS reason FROM (SELECT id, collective_id, unnest([id, id + 1, id + 1000000]) AS s FROM ins) i LEFT JOIN exp e ON e.id = s WHERE e.id IS NULL OR e.collective_id <> i.collective_id")
 def insight_source_violations(spark, sf_dir):
     i = F.col("id")
     ins = A.insights(spark, sf_dir).withColumn("source_experience_ids", F.array(i, i + 1, i + 1_000_000))
-    return graph.source_violations(ins, A.experiences(spark, sf_dir))
+    return graph.source_violations(ins, A.vectors(spark, sf_dir))
 
 
 @query("SELECT s AS id FROM (SELECT id * 3 AS s FROM exp) WHERE s NOT IN (SELECT id FROM exp)")
 def missing_reference_check(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir).select("id")
+    exp = A.vectors(spark, sf_dir).select("id")
     return exp.select((F.col("id") * 3).alias("id")).join(exp, "id", "left_anti")
 
 
@@ -577,12 +557,6 @@ def poll_filter_after_limit(spark, sf_dir):
     return L.poll(A.change_log(spark, sf_dir), 0, 400).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT seq, row_number() OVER (ORDER BY seq) AS place FROM log ORDER BY seq LIMIT 100")
-def log_order(spark, sf_dir):
-    page = A.change_log(spark, sf_dir).orderBy("seq").limit(100).withColumn("all", F.lit(1))
-    return V.top_per(page, ["all"], 100, F.asc("seq"), rank="place").select("seq", F.col("place").cast("long").alias("place"))
-
-
 @query("SELECT seq, row_number() OVER (ORDER BY seq) AS place FROM log ORDER BY seq")
 def log_order_whole(spark, sf_dir):
     return L.numbered(A.change_log(spark, sf_dir)).select("seq", "place")
@@ -629,14 +603,14 @@ def echo_filter(spark, sf_dir):
 
 @query("SELECT seq, entity_id, event_type, importance FROM log LEFT JOIN exp ON exp.id = entity_id AND NOT archived WHERE exp.id IS NOT NULL OR event_type IN ('Archived', 'Deleted')")
 def push_hydrated(spark, sf_dir):
-    rows = A.experiences(spark, sf_dir).where(~F.col("archived")).select(F.col("id").alias("entity_id"), "importance", F.lit(True).alias("found"))
+    rows = A.vectors(spark, sf_dir).where(~F.col("archived")).select(F.col("id").alias("entity_id"), "importance", F.lit(True).alias("found"))
     return L.hydrate(A.change_log(spark, sf_dir), rows).select("seq", "entity_id", "event_type", "importance")
 
 
 @query("SELECT seq, entity_id, importance FROM (SELECT * FROM log WHERE seq > 100 ORDER BY seq LIMIT 200) l JOIN exp ON exp.id = entity_id WHERE l.collective_id IN (2, 4)")
 def pull_page(spark, sf_dir):
     page = L.scan(A.change_log(spark, sf_dir), 100, 200).where(F.col("collective_id").isin(2, 4))
-    rows = A.experiences(spark, sf_dir).select(F.col("id").alias("entity_id"), "importance", F.lit(True).alias("found"))
+    rows = A.vectors(spark, sf_dir).select(F.col("id").alias("entity_id"), "importance", F.lit(True).alias("found"))
     return L.hydrate(page, rows).where("found").select("seq", "entity_id", "importance")
 
 
@@ -653,7 +627,7 @@ def last_reinforced_merge(spark, sf_dir):
 
 
 def _two_replicas(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir).select("id", "applications", "last_reinforced_ms")
+    exp = A.vectors(spark, sf_dir).select("id", "applications", "last_reinforced_ms")
     mine = exp.where("id % 3 <> 0")
     theirs = exp.where("id % 2 = 0").select("id", F.create_map(F.lit("A"), F.col("id") % 5, F.lit("C"), F.col("id") % 2 + 1).alias("applications"), (F.col("last_reinforced_ms") + F.col("id") % 7 - 3).alias("last_reinforced_ms"))
     return mine, theirs
@@ -674,43 +648,61 @@ def apply_outcomes(spark, sf_dir):
     return L.merge_state(*_two_replicas(spark, sf_dir)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _patches(exp: DataFrame) -> DataFrame:
-    i = F.col("id")
-    return exp.where("id % 2 = 0").select("id", (F.col("ts_ms") + i % 5 - 2).alias("ts_ms"), F.when(i % 4 == 0, 0.25).alias("importance"), F.lit(0.75).alias("confidence"))
+def _update_sql(cond: str) -> str:
+    return f"SELECT id, CASE WHEN id % 4 = 0 AND {cond} THEN 0.25 ELSE importance END AS importance, CASE WHEN id % 2 = 0 AND {cond} THEN 0.75 ELSE confidence END AS confidence FROM exp"
 
 
-_TAKE = "id % 2 = 0 AND {cond}"
+def _rows(exp: DataFrame) -> DataFrame:
+    """Projected experiences as the engine holds them."""
+    have = set(exp.columns)
+    kinds = {c.split()[0]: c.split()[1] for c in S_EXPERIENCE.split(", ")}
+    return exp.select(*[(F.col(c) if c in have else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
 
-def _update_sql(cond: str) -> str:
-    return f"SELECT id, CASE WHEN id % 4 = 0 AND {cond} THEN 0.25 ELSE importance END AS importance, CASE WHEN id % 2 = 0 AND {cond} THEN 0.75 ELSE confidence END AS confidence FROM exp"
+def _events(rows: DataFrame, kind, ts_ms=None) -> DataFrame:
+    """A peer's events with these rows."""
+    body = [c.split()[0] for c in S_EXPERIENCE.split(", ")]
+    return rows.select(F.lit(1).cast("long").alias("seq"), kind.alias("event_type"), F.col("id").alias("entity_id"), "collective_id", (F.col("ts_ms") if ts_ms is None else ts_ms).alias("ts_ms"), F.lit("peer").alias("origin"), F.struct(*body).alias("experience"))
+
+
+def _applied(spark, sf_dir, last_write_wins: bool) -> DataFrame:
+    own = _rows(A.vectors(spark, sf_dir))
+    i = F.col("id").cast("long")
+    patch = own.where(i % 2 == 0).withColumn("importance", F.when(i % 4 == 0, 0.25).otherwise(F.col("importance"))).withColumn("confidence", F.lit(0.75))
+    got = L.fold_experiences(own, _events(patch, F.lit("Updated"), F.col("ts_ms") + i % 5 - 2), last_write_wins)
+    new = got.where("outcome = 'updated'").select("id", "row.importance", "row.confidence")
+    return L.without(own, new).select("id", "importance", "confidence").unionByName(new).select(F.col("id").cast("long").alias("id"), "importance", "confidence")
 
 
 @query(_update_sql("true"))
 def apply_server_wins(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir).select("id", "ts_ms", "importance", "confidence")
-    return L.apply_updates(exp, _patches(exp), ["importance", "confidence"], False).drop("ts_ms")
+    return _applied(spark, sf_dir, False)
 
 
 @query(_update_sql("id % 5 >= 2"))
 def apply_lww(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir).select("id", "ts_ms", "importance", "confidence")
-    return L.apply_updates(exp, _patches(exp), ["importance", "confidence"], True).drop("ts_ms")
+    return _applied(spark, sf_dir, True)
 
 
 @query("SELECT id, archived OR id % 4 = 0 AS archived FROM exp WHERE id % 6 <> 1")
 def apply_archived_deleted(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir).select("id", "archived")
-    events = exp.select((F.col("id") * 2).alias("id"), F.when(F.col("id") % 2 == 0, "Archived").otherwise("Other").alias("kind")).union(exp.where("id % 6 = 1").select("id", F.lit("Deleted").alias("kind")))
-    gone, put = events.where("kind = 'Deleted'"), events.where("kind = 'Archived'").select("id", F.lit(True).alias("put")).distinct()
-    left = exp.join(gone, "id", "left_anti").join(put, "id", "left")
-    return left.select("id", (F.col("archived") | F.coalesce("put", F.lit(False))).alias("archived"))
+    """Archivings of ids that are twice another's, some of which aren't there, and deletions."""
+    own = _rows(A.vectors(spark, sf_dir))
+    i = F.col("id").cast("long")
+    put = own.where(i % 2 == 0).withColumn("id", (i * 2).cast("string")).withColumn("archived", F.lit(True))
+    page = _events(put, F.lit("Archived")).unionByName(_events(own.where(i % 6 == 1), F.lit("Deleted")))
+    got = L.fold_experiences(own, page, False)
+    new = got.where("outcome = 'updated'").select("id", "row.archived")
+    left = L.without(own, got.where("outcome IN ('updated', 'deleted')").select("id")).select("id", "archived")
+    return left.unionByName(new).select(F.col("id").cast("long").alias("id"), "archived")
 
 
 @query("SELECT id, source_id FROM rel UNION SELECT id, source_id FROM edges WHERE id % 2 = 0")
 def apply_relation_idempotent(spark, sf_dir):
     own = A.relations(spark, sf_dir).select("id", "source_id")
-    return L.insert_new(own, A.all_edges(spark, sf_dir).where("id % 2 = 0").select("id", "source_id"))
+    new = A.all_edges(spark, sf_dir).where("id % 2 = 0").select("id", "source_id")
+    page = new.select(F.lit(1).alias("seq"), F.lit("Created").alias("event_type"), F.col("id").alias("entity_id"), F.lit("c").alias("collective_id"), F.lit("peer").alias("origin"), F.struct("id", "source_id").alias("relation"))
+    return own.unionByName(L.fold_others(own, page, "relation").where("outcome = 'inserted'").select("row.id", "row.source_id"))
 
 
 @query("SELECT id FROM exp WHERE importance >= 0.6 AND list_has_any(domain, ['en', 'fr']) AND type_tag IN (0, 2, 4, 6, 8)")
@@ -740,128 +732,181 @@ UNION ALL SELECT DISTINCT 'relation', rel.id, NULL::DOUBLE FROM rel WHERE source
 def context_candidates(spark, sf_dir):
     from mnemora.operators.context import ContextRequest, candidates
 
-    exp = A.experiences(spark, sf_dir)
+    exp = A.vectors(spark, sf_dir)
     own = exp.join(F.broadcast(exp.where("id = 0").select("collective_id")), "collective_id", "left_semi")
     ins = A.insights(spark, sf_dir).join(F.broadcast(exp.where("id = 0").select("collective_id")), "collective_id", "left_semi")
     c = candidates(ContextRequest(20, 10), own, _q0(exp), ins, A.relations(spark, sf_dir), None, now_ms=NOW, config=CONFIG)
     return c.tagged().select("section", "id", r6("score").alias("score"))
 
 
-# state after a change, as tables
+@query(f""", near AS (SELECT id, similarity FROM (SELECT * FROM sim WHERE collective_id = (SELECT qc FROM q0) ORDER BY similarity DESC, id LIMIT 40) WHERE NOT archived ORDER BY similarity DESC, id LIMIT 20),
+rec AS (SELECT id FROM (SELECT * FROM exp WHERE collective_id = (SELECT qc FROM q0) ORDER BY ts_ms DESC, id DESC LIMIT 20) WHERE NOT archived ORDER BY ts_ms DESC, id DESC LIMIT 10),
+seen AS (SELECT user_id, max(epoch_us(ts) // 1000) AS ms FROM events GROUP BY 1)
+SELECT 'similar' AS section, id, round(similarity, 6) AS score FROM near UNION ALL SELECT 'recent', id, NULL FROM rec
+UNION ALL SELECT 'agent', user_id, NULL FROM seen WHERE user_id % 10 = (SELECT qc FROM q0) AND ms >= {NOW} - 5 * {DAY}""")
+def context_with_agents(spark, sf_dir):
+    """All sections that are asked for, presence among them."""
+    from mnemora.operators.context import ContextRequest, candidates
+
+    exp = A.vectors(spark, sf_dir)
+    of = F.broadcast(exp.where("id = 0").select("collective_id"))
+    seen = A.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("agent_id")).agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("last_heartbeat_ms")).withColumn("collective_id", F.col("agent_id") % 10)
+    request = ContextRequest(20, 10, include_insights=False, include_relations=False)
+    c = candidates(request, exp.join(of, "collective_id", "left_semi"), _q0(exp), None, None, seen.join(of, "collective_id", "left_semi"), now_ms=NOW, config=CONFIG, stale_seconds=5 * 86_400)
+    return c.tagged().select("section", "id", r6("score").alias("score"))
+
+
+@query("SELECT exp.id, len(v.embedding)::BIGINT AS dimension FROM exp LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 3 <> 0) v ON v.vec_id = exp.id")
+def experience_with_any_embedding(spark, sf_dir):
+    """Experiences of which some have no vector."""
+    have = A.table(spark, sf_dir, "embeddings").where("vec_id % 3 <> 0").select(F.col("vec_id").alias("id"), "embedding")
+    return A.vectors(spark, sf_dir).select("id").join(have, "id", "left").select("id", F.size("embedding").cast("long").alias("dimension"))
+
+
+@query("SELECT min(n) AS low FROM (SELECT user_id % 7 AS peer, max(event_id + 1) AS n FROM events GROUP BY 1)", tables=False)
+def min_cursor_of_peers(spark, sf_dir):
+    peers = A.change_log(spark, sf_dir).groupBy((F.col("entity_id") % 7).alias("peer_id")).agg(F.max("seq").alias("last_sequence"))
+    return peers.agg(F.min("last_sequence").alias("low"))
+
+
+# state after a change: the engine's own methods on a fork of a store with the projected tables
+
+
+def _long(column: str) -> F.Column:
+    return F.expr(f"try_cast({column} AS bigint)").alias(column)
 
 
 @query("SELECT id, importance FROM exp UNION ALL SELECT 1000000, 0.5")
 def after_record(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir).select("id", "importance")
-    return L.insert_new(exp, spark.createDataFrame([(1_000_000, 0.5)], "id long, importance double"))
+    e = store(spark, sf_dir)
+    new = e.record_experience("3", "fresh", [0.1] * 64, importance=0.5)
+    return e.table("Experience").select(F.when(F.col("id") == new, 1_000_000).otherwise(_long("id")).alias("id"), "importance")
 
 
 @query("SELECT id, CASE WHEN id = 5 THEN 0.9 ELSE importance END AS importance, CASE WHEN id = 5 THEN 'x' ELSE array_to_string(domain, ',') END AS domain FROM exp")
 def after_update_patch(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir).select("id", "ts_ms", "importance", "domain")
-    patch = spark.createDataFrame([(5, A.T0, 0.9, ["x"])], "id long, ts_ms long, importance double, domain array<string>")
-    return L.apply_updates(exp, patch, ["importance", "domain"], False).select("id", "importance", F.array_join("domain", ",").alias("domain"))
+    e = store(spark, sf_dir)
+    e.update_experience("5", importance=0.9, domain=["x"])
+    return e.table("Experience").select(_long("id"), "importance", F.array_join("domain", ",").alias("domain"))
 
 
 @query("SELECT id, archived OR id IN (1, 2, 3) AS archived FROM exp")
 def after_archive(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir).select("id", "ts_ms", "archived")
-    patch = exp.where("id in (1, 2, 3)").select("id", "ts_ms", F.lit(True).alias("archived"))
-    return L.apply_updates(exp, patch, ["archived"], False).drop("ts_ms")
+    e = store(spark, sf_dir)
+    for i in ("1", "2", "3"):
+        e.archive_experience(i)
+    return e.table("Experience").select(_long("id"), "archived")
 
 
 @query("SELECT 'experience' AS kind, id FROM exp WHERE id NOT IN (3, 24) UNION ALL SELECT 'relation', id FROM edges WHERE source_id NOT IN (3, 24) AND target_id NOT IN (3, 24)")
 def after_delete_cascade(spark, sf_dir):
-    exp, edges = A.experiences(spark, sf_dir).select("id"), A.all_edges(spark, sf_dir)
-    gone = exp.where("id in (3, 24)")
-    return exp.join(gone, "id", "left_anti").select(F.lit("experience").alias("kind"), "id").unionByName(edges.join(graph.cascade(edges, gone), "id", "left_anti").select(F.lit("relation").alias("kind"), "id"))
+    """With edges between collectives too, which go with either end."""
+    e = store(spark, sf_dir)
+    rest = A.all_edges(spark, sf_dir).join(A.relations(spark, sf_dir).select("id"), "id", "left_anti")
+    e.load("Relation", relation_rows(rest, A.vectors(spark, sf_dir)))
+    for i in ("3", "24"):
+        e.delete_experience(i)
+    return e.table("Experience").select(F.lit("experience").alias("kind"), _long("id")).unionByName(e.table("Relation").select(F.lit("relation").alias("kind"), _long("id")))
 
 
 @query(f"SELECT id, app_a + CASE WHEN id = 8 THEN 1 ELSE 0 END + app_b AS n, CASE WHEN id = 8 THEN {NOW} ELSE last_reinforced_ms END AS last_reinforced_ms FROM exp")
 def after_reinforce(spark, sf_dir):
-    exp = A.experiences(spark, sf_dir)
-    hit = F.col("id") == 8
-    one = F.create_map(F.lit("A"), F.coalesce(F.col("applications")["A"], F.lit(0)) + 1)
-    return exp.select("id", S.total_applications(F.when(hit, S.merge_counters(F.col("applications"), one)).otherwise(F.col("applications"))).alias("n"), F.when(hit, NOW).otherwise(F.col("last_reinforced_ms")).alias("last_reinforced_ms"))
+    e = store(spark, sf_dir, instance_id="A")
+    e.reinforce_experience("8")
+    return e.table("Experience").select(_long("id"), S.total_applications(F.col("applications")).alias("n"), "last_reinforced_ms")
 
 
 @query("SELECT id, source_id, target_id FROM rel UNION ALL SELECT 100000 + g.id, g.source_id, g.target_id FROM edges g JOIN exp s ON s.id = source_id JOIN exp t ON t.id = target_id WHERE s.collective_id = t.collective_id AND NOT EXISTS (SELECT 1 FROM rel r WHERE r.source_id = g.source_id AND r.target_id = g.target_id AND r.relation_type = (g.relation_type + 1) % 6)")
 def after_store_relation(spark, sf_dir):
-    rel = A.relations(spark, sf_dir)
+    e = store(spark, sf_dir)
     new = A.all_edges(spark, sf_dir).withColumn("relation_type", (F.col("relation_type") + 1) % 6).withColumn("id", F.col("id") + 100_000)
-    ok = graph.with_collectives(new, A.experiences(spark, sf_dir)).where("source_collective = target_collective")
-    fresh_rows = ok.join(rel, ["source_id", "target_id", "relation_type"], "left_anti")
-    return rel.select("id", "source_id", "target_id").unionByName(fresh_rows.select("id", "source_id", "target_id"))
+    e.store_relations(relation_rows(new, A.vectors(spark, sf_dir)))
+    return e.table("Relation").select(_long("id"), _long("source_id"), _long("target_id"))
 
 
 @query("SELECT id FROM rel WHERE id % 2 <> 0")
 def after_delete_relation(spark, sf_dir):
-    rel = A.relations(spark, sf_dir).select("id")
-    return rel.join(rel.where("id % 2 = 0"), "id", "left_anti")
+    e = store(spark, sf_dir)
+    e.delete_relations(e.table("Relation").where(_long("id") % 2 == 0))
+    return e.table("Relation").select(_long("id"))
 
 
 @query("SELECT id, collective_id FROM ins UNION ALL SELECT 1000 + id, collective_id FROM ins WHERE id % 2 = 0")
 def after_store_insight(spark, sf_dir):
-    ins = A.insights(spark, sf_dir).select("id", "collective_id")
-    return L.insert_new(ins, ins.where("id % 2 = 0").select((F.col("id") + 1000).alias("id"), "collective_id"))
+    e = store(spark, sf_dir)
+    sources = A.vectors(spark, sf_dir).groupBy("collective_id").agg(F.array(F.min("id").cast("string")).alias("source_experience_ids"))
+    new = A.insights(spark, sf_dir).where("id % 2 = 0").join(sources, "collective_id").select((F.col("id") + 1000).cast("string").alias("id"), text("collective_id"), F.lit("mean").alias("content"), "embedding", "source_experience_ids", F.lit("Pattern").alias("insight_type"), F.lit(0.5).alias("confidence"))
+    e.store_insights(new)
+    return e.table("Insight").select(_long("id"), _long("collective_id"))
 
 
 @query("SELECT id FROM ins WHERE id <> 4")
 def after_delete_insight(spark, sf_dir):
-    ins = A.insights(spark, sf_dir).select("id")
-    return ins.join(ins.where("id = 4"), "id", "left_anti")
+    e = store(spark, sf_dir)
+    e.delete_insight("4")
+    return e.table("Insight").select(_long("id"))
 
 
-def _upsert(act: DataFrame, new: DataFrame) -> DataFrame:
-    return L.latest(act.withColumn("o", F.lit(0)).unionByName(new.withColumn("o", F.lit(1))), ["agent_id", "collective_id"], "o").drop("o")
+def _presence(spark, sf_dir, change: str):
+    """What a change by agent 7, in each of its collectives, leaves."""
+    e = store(spark, sf_dir)
+    for r in e.table("Activity").where("agent_id = '7'").select("collective_id").collect():  # one agent's
+        getattr(e, change)("7", r["collective_id"])
+    return e.table("Activity").withColumn("agent_id", _long("agent_id"))
 
 
 @query(f"SELECT agent_id, collective_id, CASE WHEN agent_id = 7 THEN {NOW} ELSE started_at_ms END AS started_at_ms, CASE WHEN agent_id = 7 THEN {NOW} ELSE last_heartbeat_ms END AS last_heartbeat_ms FROM act")
 def after_register_activity(spark, sf_dir):
-    act = A.activities(spark, sf_dir)
-    return _upsert(act, act.where("agent_id = 7").withColumn("started_at_ms", F.lit(NOW)).withColumn("last_heartbeat_ms", F.lit(NOW)))
+    return _presence(spark, sf_dir, "register_activity").select("agent_id", "collective_id", "started_at_ms", "last_heartbeat_ms")
 
 
 @query(f"SELECT agent_id, collective_id, started_at_ms, CASE WHEN agent_id = 7 THEN {NOW} ELSE last_heartbeat_ms END AS last_heartbeat_ms FROM act")
 def after_heartbeat(spark, sf_dir):
-    act = A.activities(spark, sf_dir)
-    return _upsert(act, act.where("agent_id = 7").withColumn("last_heartbeat_ms", F.lit(NOW)))
+    return _presence(spark, sf_dir, "update_heartbeat").select("agent_id", "collective_id", "started_at_ms", "last_heartbeat_ms")
 
 
 @query("SELECT agent_id, collective_id FROM act WHERE agent_id <> 7")
 def after_end_activity(spark, sf_dir):
-    act = A.activities(spark, sf_dir).select("agent_id", "collective_id")
-    return act.join(act.where("agent_id = 7"), ["agent_id", "collective_id"], "left_anti")
+    return _presence(spark, sf_dir, "end_activity").select("agent_id", "collective_id")
 
 
 @query("SELECT id, name, owner_id FROM coll UNION ALL SELECT 50, 'fresh', 'me'")
 def after_create_collective(spark, sf_dir):
-    c = A.collectives(spark, sf_dir).select("id", "name", "owner_id")
-    return L.insert_new(c, spark.createDataFrame([(50, "fresh", "me")], "id long, name string, owner_id string"))
+    e = store(spark, sf_dir)
+    new = e.create_collective_with_owner("fresh", "me")
+    return e.table("Collective").where("owner_id <> 'events'").select(F.when(F.col("id") == new, 50).otherwise(_long("id")).alias("id"), "name", "owner_id")
 
 
 @query("SELECT id, name FROM coll UNION ALL SELECT 51, 'fresh'")
 def get_or_create(spark, sf_dir):
-    c = A.collectives(spark, sf_dir).select("id", "name")
-    wanted = spark.createDataFrame([(50, "collective-3"), (51, "fresh")], "id long, name string")
-    return L.insert_new(c, wanted, "name")
+    e = store(spark, sf_dir)
+    assert e.get_or_create_collective("collective-3") == "3"
+    new = e.get_or_create_collective("fresh")
+    return e.table("Collective").where("owner_id <> 'events' OR owner_id IS NULL").select(F.when(F.col("id") == new, 51).otherwise(_long("id")).alias("id"), "name")
 
 
 @query("SELECT 'collective' AS kind, id FROM coll WHERE id <> 2 UNION ALL SELECT 'experience', id FROM exp WHERE collective_id <> 2 UNION ALL SELECT 'relation', rel.id FROM rel JOIN exp ON exp.id = source_id WHERE collective_id <> 2 UNION ALL SELECT 'insight', id FROM ins WHERE collective_id <> 2")
 def after_delete_collective(spark, sf_dir):
-    exp, rel = A.experiences(spark, sf_dir), A.relations(spark, sf_dir)
-    gone = exp.where("collective_id = 2").select("id")
-    parts = {"collective": A.collectives(spark, sf_dir).where("id <> 2"), "experience": exp.join(gone, "id", "left_anti"), "relation": rel.join(graph.cascade(rel, gone), "id", "left_anti"), "insight": A.insights(spark, sf_dir).where("collective_id <> 2")}
-    out = None
-    for kind, df in parts.items():
-        p = df.select(F.lit(kind).alias("kind"), "id")
-        out = p if out is None else out.unionByName(p)
+    e = store(spark, sf_dir)
+    e.delete_collective("2")
+    out = e.table("Collective").where("owner_id <> 'events'").select(F.lit("collective").alias("kind"), _long("id"))
+    for kind in ("Experience", "Relation", "Insight"):
+        out = out.unionByName(e.table(kind).select(F.lit(kind.lower()).alias("kind"), _long("id")))
     return out
 
 
 # rows only
 
 
+@query()
+def approximate_neighbours(spark, sf_dir):
+    """The stated batch's ten neighbours by cells, with the share of the true ones among them."""
+    exp = A.vectors(spark, sf_dir).select("id", "collective_id", "embedding")
+    found = V.Cells(exp, cell_rows=64).nearest(_batch(exp), 10)
+    share = V.recall_at(found, V.nearest(_batch(exp), exp, 10), "query_id", 10)
+    return found.join(share, "query_id").select("query_id", "id", r6("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"), "recall")
+
+
 @query()
 def watch_stream(spark, sf_dir):
     """Experience events of a streamed log, by type."""
