@@ -32,15 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.llm.components import components
-from mnemora.llm.runtime import BROADCAST_ROWS, give_back, join_hot, only, row_blocks, written
+from mnemora.llm.runtime import BROADCAST_IDS, give_back, join_hot, only, row_blocks, written
 
 WORDS_AT_ONCE = 1 << 14
 #: Pairs whose two texts a worker holds as strings at a time.
 PAIRS_AT_ONCE = 128
 #: A pivot's text goes to so many pairs at a time.
 PAIRS_OF_A_PIVOT = 256
-#: Rows and bytes of text in a block of a bucket.
-BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
+#: Rows and bytes of text in a block of a bucket or of its strays.
+BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20
 #: Sets up to this many shingles have short bands; those a quarter larger have both.
 SHORT_SET = 32
 SIGNATURES = "doc_id long, text_hash long, n_bytes long, n_shingles long, digest binary, bands array<long>, sketch binary"
@@ -168,7 +168,7 @@ def _texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """cid, text of the classes with these cids: the text that stands for the class."""
     wanted = written(ids.join(classes.select("cid", "rep.doc_id", "rep.text_hash"), "cid"), "wanted")
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    few = wanted.count() <= BROADCAST_ROWS
+    few = wanted.count() <= BROADCAST_IDS
     return written(hashed.join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"]).groupBy("cid").agg(F.first("text").alias("text")), "near-texts")
 
 
@@ -208,20 +208,15 @@ def _first_shared(keys: list[list[int]], key: int) -> np.ndarray:
 
 
 def _cross(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of a block of a bucket, each with the other rows to hold it against: of other components, of a fitting size, first met here."""
-    i, j, key = (t.column(c)[0].as_py() for c in ("i", "j", "key"))
-    block, n = t.column("block").to_numpy(), t.column("n").to_numpy()
-    _, comp, sizes = np.unique(t.column("c").to_numpy(), return_inverse=True, return_counts=True)
+    """The strays of a block, each with the block's other rows to hold it against: of other components, of a fitting size, first met here."""
+    key, role = t.column("key")[0].as_py(), t.column("stray").to_numpy(zero_copy_only=False)
+    cid, n, comp, usual = (t.column(c).to_numpy() for c in ("cid", "n", "c", "usual"))
     member = _first_shared(t.column("keys").to_pylist(), key)
-    usual = int(sizes.argmax())
-    odd = np.flatnonzero(comp != usual)
-    done = np.zeros(len(n), bool)
-    for r in odd:
-        done[r] = True  # a pair of two odd rows comes once
-        ok = (comp != comp[r]) & ~done & (100 * np.minimum(n, n[r]) >= percent * np.maximum(n, n[r]))
-        if i != j:
-            ok &= block != block[r]
-        cand = np.flatnonzero(ok)
+    among = np.flatnonzero(~role)
+    odd = comp[among] != usual[among]
+    for r in np.flatnonzero(role):
+        ok = (comp[among] != comp[r]) & ~(odd & (cid[among] < cid[r])) & (100 * np.minimum(n[among], n[r]) >= percent * np.maximum(n[among], n[r]))  # a pair of two strays comes once
+        cand = among[ok]
         if member.shape[1] and len(cand):
             cand = cand[member[cand] @ member[r] == 0]
         if len(cand):
@@ -231,18 +226,25 @@ def _cross(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
 def _across(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, deviations: float | None) -> DataFrame:
     """Components once the pairs across components, in buckets that span several, are compared too.
 
-    A bucket's rows meet in blocks: first their sketches, then the full sets of
-    rows that a sketch doesn't rule out.  Rows grow with buckets, never with pairs.
+    Strays are the rows of a bucket outside its largest component: only they meet
+    others.  Blocks of the bucket meet blocks of its strays: first their sketches,
+    then the full sets of rows that a sketch doesn't rule out.  So a bucket of R
+    rows with few strays is dealt as about R rows.
     """
     placed = written(shared.where(F.col("m") > 2).join(found.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "n", "n_bytes", F.coalesce("component", "cid").alias("c"), F.col("least.cid").alias("pivot")), "placed")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("n_bytes") / BLOCK_BYTES)).cast("int")
-    span = written(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n_bytes").alias("n_bytes")).where(F.col("lo") != F.col("hi")).select("key", "m", blocks.alias("blocks")), "span")
+    parts = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_bytes").alias("bytes"))
+    of_key = parts.groupBy("key").agg(F.max(F.struct("rows", "bytes", "c")).alias("most"), F.sum("rows").alias("m"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("cs")).where("cs > 1")
+    cut = lambda rows, size: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    span = written(of_key.select("key", "m", F.col("most.c").alias("usual"), cut(F.col("m"), F.col("bytes")).alias("blocks"), cut(F.col("m") - F.col("most.rows"), F.col("bytes") - F.col("most.bytes")).alias("odd_blocks")), "span")
     if span.isEmpty():
         return found
-    rows = join_hot(placed.where(F.col("cid") != F.col("pivot")).drop("pivot", "n_bytes"), span, "key", "m", placed.count()).drop("m")
+    rows = written(join_hot(placed.where(F.col("cid") != F.col("pivot")).drop("pivot", "n_bytes"), span, "key", "m", placed.count()).drop("m"), "rows")
     own = rows.groupBy("cid").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most one a band
-    dealt = rows.join(own, "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = written(dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "n", "c", "keys"), "spanning")
+    keyed = rows.join(own, "cid").withColumn("h", F.xxhash64("cid"))
+    every = keyed.withColumn("i", F.pmod("h", "blocks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1))).withColumn("stray", F.lit(False))
+    strays = keyed.where(F.col("c") != F.col("usual")).withColumn("j", F.pmod("h", "odd_blocks").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("stray", F.lit(True))
+    columns = ["key", "i", "j", "stray", "cid", "n", "c", "usual", "keys"]
+    dealt = written(every.select(columns).unionByName(strays.select(columns)), "spanning")
 
     def likely(t: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(t), -1)
@@ -252,7 +254,7 @@ def _across(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: DataF
             cand = cand[short[r] | short[cand] | ((x[cand] == x[r]).sum(1) >= bound)]
             keep[cand] = True
             keep[r] |= len(cand) > 0
-        return t.select(["key", "i", "j", "cid"]).filter(pa.array(keep))
+        return t.select(["key", "i", "j", "cid", "stray"]).filter(pa.array(keep))
 
     def linked(t: pa.Table) -> pa.Table:
         sets = [shingles(x, size) for x in t.column("text").to_pylist()]
@@ -273,11 +275,11 @@ def _across(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: DataF
 
     block = ["key", "i", "j"]
     sketched = dealt.join(classes.select("cid", "sketch"), "cid")
-    open_rows = written(sketched.groupBy(*block).applyInArrow(likely, "key long, i int, j int, cid long"), "open")
+    open_rows = written(sketched.groupBy(*block).applyInArrow(likely, "key long, i int, j int, cid long, stray boolean"), "open")
     if open_rows.isEmpty():
         return found
     texts = _texts(open_rows.select("cid").distinct(), classes, docs)
-    full = dealt.join(open_rows, [*block, "cid"]).join(texts, "cid")
+    full = dealt.join(open_rows, [*block, "cid", "stray"]).join(texts, "cid")
     late = full.groupBy(*block).applyInArrow(linked, "a long, b long")
     return written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late)), "components")
 
