@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.runtime import written
+from mnemora.llm.runtime import join_hot, written
 
 
 def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -43,13 +43,18 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[some], pa.int64()), pa.array(nodes[label[some]], pa.int64())], names=["a", "b"])
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """a > b in all rows, before and after."""
-    near = edges if not large else edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    moved = near.join(least, "a")
-    if large:
-        return moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Larger neighbours move to the smallest one; a > b in all rows, before and after.  A hub's rows are dealt over tasks."""
+    near = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = written(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    moved = join_hot(near.where(F.col("b") > F.col("a")), least, "a", "n", 2 * edges.count())
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Smaller neighbours, of which a node has few, move to the smallest one."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(least, "a")
     return moved.select(F.col("b").alias("x"), "m").unionByName(least.select(F.col("a").alias("x"), "m")).where(F.col("x") != F.col("m")).select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
 
 
@@ -63,7 +68,7 @@ def components(links: DataFrame) -> DataFrame:
     if not edges.isEmpty():
         before = None
         while True:
-            edges = written(_stars(_stars(edges, True), False), "stars")
+            edges = written(_small_star(_large_star(edges)), "stars")
             now = state(edges)
             if now == before:
                 break

@@ -65,10 +65,12 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Ru
     text = F.col("text")
     rows = only(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     split = rows.select("doc_id", "text", F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "").alias("words"), F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0).alias("lines"))
-    hashed = split.select(
+    # each word is hashed once, each window from its words' numbers
+    numbers = split.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("numbers"))
+    hashed = numbers.select(
         "*",
         F.sort_array(
-            F.when(F.size("words") >= window, F.transform(F.sequence(F.lit(0), F.size("words") - window), lambda i: F.struct(F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(window)]).alias("h"), i.alias("i"))))
+            F.when(F.size("words") >= window, F.transform(F.sequence(F.lit(0), F.size("words") - window), lambda i: F.struct(F.xxhash64(*[F.get(F.col("numbers"), i + k) for k in range(window)]).alias("h"), i.alias("i"))))
             .otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
         ).alias("windows"),
     )
