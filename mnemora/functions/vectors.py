@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query batches up to this many numbers are broadcast; larger ones are joined by collective.
+#: Query batches up to this many numbers are broadcast; larger ones meet the rows in blocks of these sizes.
 BROADCAST_NUMBERS = 4_000_000
+QUERY_BLOCK, ROW_BLOCK = 1024, 8192
 #: More than two computations of one cosine differ by.
 ROUNDING = 1e-9
 
@@ -49,19 +50,42 @@ def _summed(x: np.ndarray) -> np.ndarray:
     return np.add.accumulate(x, axis=1)[:, -1]
 
 
+def _best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, place of a row and similarity of all that can be among a query's first k in this block, equal ones by id.
+
+    One matrix product rules out what is less like a query than the k-th by more than
+    rounding; the rest is computed again in the order of `similarity`.
+    """
+    own_norm, norms = np.sqrt(_summed(q * q)), np.sqrt(_summed(x * x))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rough = np.nan_to_num((q @ x.T) / (own_norm[:, None] * norms[None, :]), nan=-np.inf)  # a zero vector has none
+    by_id = np.empty(len(ids), np.int64)
+    by_id[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
+    least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q), -np.inf)
+    out = []
+    for i in range(len(q)):
+        near = np.flatnonzero(rough[i] >= least[i] - ROUNDING)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sim = _summed(x[near] * q[i]) / (norms[near] * own_norm[i])
+        first = np.lexsort((by_id[near], -np.nan_to_num(sim, nan=-np.inf)))[:k]
+        out.append((np.repeat(qid[i], len(first)), near[first], sim[first]))
+    which, near, sim = map(np.concatenate, zip(*out, strict=True))
+    return which, near, sim
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """query_id, id, similarity, rank: the k rows of each query's collective most like it.
 
     queries: query_id, collective_id, embedding; rows: id, collective_id, embedding.
-    A batch of bounded size is broadcast; in each Arrow batch one matrix product
-    rules out what is less like a query than the k-th by more than rounding, the
-    rest is computed again in the order of `similarity` and ranked by it and id.
-    A larger one is an equi-join on the collective.
+    A batch of bounded size is broadcast to the rows' Arrow batches.  Of a larger one,
+    blocks of a collective's queries meet blocks of its rows: R rows and Q queries go
+    to tasks as R * Q / QUERY_BLOCK + Q * R / ROW_BLOCK rows.  Both give the same.
     """
+    kinds = dict(queries.dtypes) | {"id": dict(rows.dtypes)["id"]}
+    schema = f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double"
     width = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     if width[0] * (width[1] or 0) > BROADCAST_NUMBERS:
-        q = queries.select("query_id", "collective_id", F.col("embedding").alias("q"))
-        scored = rows.join(q, "collective_id").select("query_id", "id", similarity(F.col("embedding"), F.col("q")).alias("similarity"))
+        scored = _in_blocks(queries, rows, k, schema)
     else:
         held = queries.select("query_id", "collective_id", "embedding").toPandas()
         shared = rows.sparkSession.sparkContext.broadcast({c: (g["query_id"].to_numpy(), np.stack(g["embedding"]).astype(float)) for c, g in held.groupby("collective_id")})
@@ -73,30 +97,36 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                 ids = np.array(b.column("id").to_pylist(), object)
                 vectors = b.column("embedding").to_pylist()
                 for c in set(coll.tolist()) & own.keys():
-                    qid, q = own[c]
                     at = np.flatnonzero(coll == c)
-                    x = np.array([vectors[i] for i in at], float)
-                    own_norm, norms = np.sqrt(_summed(q * q)), np.sqrt(_summed(x * x))
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        rough = np.nan_to_num((q @ x.T) / (own_norm[:, None] * norms[None, :]), nan=-np.inf)  # a zero vector has none
-                    by_id = np.empty(len(at), np.int64)
-                    by_id[sorted(range(len(at)), key=ids[at].__getitem__)] = np.arange(len(at))
-                    least = np.partition(rough, len(at) - k, axis=1)[:, len(at) - k] if len(at) > k else np.full(len(q), -np.inf)
-                    out: list[tuple] = []
-                    for i in range(len(q)):
-                        near = np.flatnonzero(rough[i] >= least[i] - ROUNDING)
-                        with np.errstate(divide="ignore", invalid="ignore"):
-                            sim = _summed(x[near] * q[i]) / (norms[near] * own_norm[i])
-                        first = np.lexsort((by_id[near], -np.nan_to_num(sim, nan=-np.inf)))[:k]
-                        out.append((np.repeat(qid[i], len(first)), near[first], sim[first]))
-                    which, near, sim = map(np.concatenate, zip(*out, strict=True))
+                    which, near, sim = _best(*own[c], ids[at], np.array([vectors[i] for i in at], float), k)
                     yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(ids[at][near].tolist()), pa.array(sim, mask=np.isnan(sim))], names=["query_id", "id", "similarity"])
 
-        kinds = dict(queries.dtypes) | {"id": dict(rows.dtypes)["id"]}
-        scored = rows.select("id", "collective_id", "embedding").mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double")
+        scored = rows.select("id", "collective_id", "embedding").mapInArrow(run, schema)
     return top_per(scored, ["query_id"], k, F.desc("similarity"), F.asc("id"))
 
 
+def _in_blocks(queries: DataFrame, rows: DataFrame, k: int, schema: str) -> DataFrame:
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy("collective_id").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+    n = blocks(rows, ROW_BLOCK, "row_blocks").join(blocks(queries, QUERY_BLOCK, "query_blocks"), "collective_id")
+    left = queries.select("query_id", "collective_id", "embedding").join(n, "collective_id").withColumn("j", F.pmod(F.xxhash64("query_id"), "query_blocks").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)))
+    right = rows.select("id", "collective_id", "embedding").join(n, "collective_id").withColumn("i", F.pmod(F.xxhash64("id"), "row_blocks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
+
+    def run(t: pa.Table) -> pa.Table:
+        role = t.column("is_query").to_numpy(zero_copy_only=False)
+        q, r = t.filter(pa.array(role)), t.filter(pa.array(~role))
+        if not len(q) or not len(r):
+            return t.slice(0, 0).select(["query_id", "id"]).append_column("similarity", pa.array([], pa.float64()))
+        qid, ids = (np.array(x.column(c).to_pylist(), object) for x, c in ((q, "query_id"), (r, "id")))
+        which, near, sim = _best(qid, np.array(q.column("embedding").to_pylist(), float), ids, np.array(r.column("embedding").to_pylist(), float), k)
+        return pa.table({"query_id": pa.array(which.tolist(), t.schema.field("query_id").type), "id": pa.array(ids[near].tolist(), t.schema.field("id").type), "similarity": pa.array(sim, mask=np.isnan(sim))})
+
+    key, x = ["collective_id", "i", "j"], F.col("embedding").cast("array<double>").alias("embedding")
+    both = left.select(*key, F.lit(True).alias("is_query"), "query_id", x).unionByName(right.select(*key, F.lit(False).alias("is_query"), "id", x), allowMissingColumns=True)
+    return both.groupBy(*key).applyInArrow(run, schema)
+
+
 def mean_vector(df: DataFrame, by: list[str], vector: str = "embedding", out: str = "embedding") -> DataFrame:
     """Element-wise mean of each group's vectors."""
     parts = df.select(*by, F.posexplode(vector).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -199,21 +229,22 @@ class Cells:
         """A row for each of the `probes` cells nearest to a vector."""
         kind = dict(df.dtypes)
 
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        def run(t: pa.Table) -> pa.Table:
+            of = t.column("centres").to_pylist()
+            left = t.filter(pa.array([c is None for c in of]))
+            centres = next((c for c in of if c is not None), None)
             cells: list[list[int]] = [[] for _ in range(len(left))]
-            if len(right) and len(left):
-                c = np.array(right.column("centres")[0].as_py(), float)
-                x = np.array(left.column("embedding").to_pylist(), float)
-                order = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probes] if x.shape[1] == c.shape[1] else np.zeros((len(left), 1), int)
-                cells = order.tolist()
-            return left.append_column("cells", pa.array(cells, pa.list_(pa.int64())))
+            if centres is not None and len(left):
+                c, x = np.array(centres, float), np.array(left.column("embedding").to_pylist(), float)
+                cells = (np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probes] if x.shape[1] == c.shape[1] else np.zeros((len(left), 1), int)).tolist()
+            return left.select([key, "collective_id", "embedding"]).append_column("cells", pa.array(cells, pa.list_(pa.int64())))
 
         # a collective's rows are dealt over tasks; its centres go along
         parts = 64
         dealt = df.select(key, "collective_id", "embedding").withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
-        centres = self.centres.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        schema = f"{key} {kind[key]}, collective_id {kind['collective_id']}, embedding {kind['embedding']}, part int, cells array<bigint>"
-        return dealt.groupBy("collective_id", "part").cogroup(centres.groupBy("collective_id", "part")).applyInArrow(run, schema).withColumn("cell", F.explode("cells")).drop("cells", "part")
+        both = dealt.unionByName(self.centres.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), allowMissingColumns=True)
+        schema = f"{key} {kind[key]}, collective_id {kind['collective_id']}, embedding {kind['embedding']}, cells array<bigint>"
+        return both.groupBy("collective_id", "part").applyInArrow(run, schema).withColumn("cell", F.explode("cells")).drop("cells")
 
     def nearest(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
         """query_id, id, similarity, rank among the rows in the query's nearest cells."""

@@ -51,10 +51,12 @@ class Files:
         finally:
             stream.close()
 
+    def make(self, folder: str) -> None:
+        self._fs.mkdirs(self._path(folder))
+
     def rename(self, name: str, to: str) -> None:
         """One step for a whole folder."""
-        parent = self._path(to).getParent()
-        self._fs.mkdirs(parent)
+        self.make(to.rpartition("/")[0])
         if not self._fs.rename(self._path(name), self._path(to)):
             raise OSError(f"{name} can't become {to}")
 

@@ -77,6 +77,7 @@ class Engine:
             if read_only and embedder is not None:
                 raise ReadOnlyError("no embedder is stamped yet")
             if not read_only:
+                files.make("log")  # so that it can be watched from the start
                 files.create("meta.json", {"instance_id": instance_id or new_id(), "provider": mine.provider, "model_id": mine.model_id, "dimension": self.dimension, "schema_version": S.SCHEMA_VERSION, "created_at_ms": self.clock()})
         stamp = self.metadata()
         if stamp and (stamp["provider"], stamp["model_id"]) != (mine.provider, mine.model_id):

@@ -364,6 +364,19 @@ def test_approximate_recall(spark):
     rows.unpersist()
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 6))
+    x[100:140], x[7] = x[0], 0
+    rows = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "id long, collective_id long, embedding array<double>").repartition(3)
+    q = rows.where("id % 4 = 0 OR id = 7").withColumnRenamed("id", "query_id").unionByName(spark.createDataFrame([(900, 9, [1.0] * 6)], "query_id long, collective_id long, embedding array<double>"))
+    table = lambda df: sorted((r["query_id"], r["rank"], r["id"], r["similarity"]) for r in df.collect())
+    whole = table(vectors.nearest(q, rows, 5))
+    for name, n in (("BROADCAST_NUMBERS", 0), ("QUERY_BLOCK", 7), ("ROW_BLOCK", 11)):
+        monkeypatch.setattr(vectors, name, n)
+    assert table(vectors.nearest(q, rows, 5)) == whole and len(whole) == 5 * 76
+
+
 def test_block_products(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 5))
