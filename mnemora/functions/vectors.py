@@ -73,18 +73,21 @@ def _best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int
     return which, near, sim
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, blocks: bool | None = None) -> DataFrame:
     """query_id, id, similarity, rank: the k rows of each query's collective most like it.
 
     queries: query_id, collective_id, embedding; rows: id, collective_id, embedding.
     A batch of bounded size is broadcast to the rows' Arrow batches.  Of a larger one,
     blocks of a collective's queries meet blocks of its rows: R rows and Q queries go
-    to tasks as R * Q / QUERY_BLOCK + Q * R / ROW_BLOCK rows.  Both give the same.
+    to tasks as R * Q / QUERY_BLOCK + Q * R / ROW_BLOCK rows.  Both give the same;
+    `blocks` asks for one of them.
     """
     kinds = dict(queries.dtypes) | {"id": dict(rows.dtypes)["id"]}
     schema = f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double"
-    width = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    if width[0] * (width[1] or 0) > BROADCAST_NUMBERS:
+    if blocks is None:
+        width = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+        blocks = width[0] * (width[1] or 0) > BROADCAST_NUMBERS
+    if blocks:
         scored = _in_blocks(queries, rows, k, schema)
     else:
         held = queries.select("query_id", "collective_id", "embedding").toPandas()

@@ -148,10 +148,10 @@ def search_batch_stated(spark, sf_dir):
 
 @query(_batch_sql(10, ", (count(*) OVER (PARTITION BY query_id)) / 10.0::DOUBLE AS recall"))
 def recall_neighbours(spark, sf_dir):
-    """The neighbours found, and the share of the true ones among them: the SQL computes the neighbours too."""
-    exp = A.vectors(spark, sf_dir)
+    """The neighbours found, and the share of those that the block path finds among them: the SQL computes the neighbours too."""
+    exp = A.vectors(spark, sf_dir).select("id", "collective_id", "embedding")
     found = V.nearest(_batch(exp), exp, 10)
-    share = V.recall_at(found, R.batch_top(exp, _batch(exp), 10), "query_id", 10)
+    share = V.recall_at(found, V.nearest(_batch(exp), exp, 10, blocks=True), "query_id", 10)
     return found.join(share, "query_id").select("query_id", "id", r6("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"), "recall")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -45,11 +46,20 @@ class Files:
         return True
 
     def read(self, name: str) -> dict:
-        stream = self._fs.open(self._path(name))
-        try:
-            return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
-        finally:
-            stream.close()
+        """A file's content; one that its writer has just created is waited for."""
+        for turn in range(50):
+            stream = self._fs.open(self._path(name))
+            try:
+                raw = bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            finally:
+                stream.close()
+            try:
+                return json.loads(raw)
+            except ValueError:
+                if turn == 49:
+                    raise
+                time.sleep(0.05)
+        raise AssertionError
 
     def make(self, folder: str) -> None:
         self._fs.mkdirs(self._path(folder))

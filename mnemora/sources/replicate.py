@@ -98,7 +98,7 @@ def apply_changes(engine: Engine, changes: DataFrame, config: SyncConfig) -> dic
 
         raise ReadOnlyError("the store is open for reading only")
     known = changes.where(F.col("entity_type").isin(*KINDS))
-    page = engine.tables.files.at(f"staging/{uuid.uuid4().hex}")
+    page = engine.files.at(f"staging/{uuid.uuid4().hex}")
     fold(engine, known, config).write.parquet(page)
     try:
         folded = engine.spark.read.parquet(page)
@@ -118,7 +118,7 @@ def apply_changes(engine: Engine, changes: DataFrame, config: SyncConfig) -> dic
             engine._commit(*parts)
         return {"applied": applied, "skipped": counts.get("skipped", (0, 0))[0], "conflicts": sum(c or 0 for _, c in counts.values())}
     finally:
-        engine.tables.files.delete(page.removeprefix(engine.tables.files.root + "/"))
+        engine.files.delete(page.removeprefix(engine.files.root + "/"))
 
 
 def _checked(request: dict) -> None:

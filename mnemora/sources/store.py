@@ -22,7 +22,8 @@ from mnemora.functions.scoring import DecayConfig, energy, total_applications
 from mnemora.operators import graph, log as L, presence, recall, validation
 from mnemora.operators.context import ContextCandidates, ContextRequest, candidates
 from mnemora.operators.filters import SearchFilter, WatchFilter
-from mnemora.sources.tables import MERGE_EVERY, Tables, typed
+from mnemora.sources.files import Files
+from mnemora.sources.tables import MERGE_EVERY, Storage, Tables, typed
 from mnemora.streaming import watch as W
 
 
@@ -61,18 +62,19 @@ class Engine:
         clock: Callable[[], int] | None = None,
         watch_enabled: bool = True,
         merge_every: int = MERGE_EVERY,
+        tables: Storage | None = None,
     ):
         if not 1 <= dimension <= S.MAX_DIMENSION:
             raise ConfigError("dimension must be from 1 to 4096")
         if stale_seconds <= 0:
             raise ConfigError("the stale threshold must be above 0")
         self.spark, self.root, self.read_only, self.decay = spark, root.rstrip("/"), read_only, decay.validate()
-        self.tables = Tables(spark, self.root, merge_every)
+        self.tables = tables or Tables(spark, self.root, merge_every)
         self.embedder = embedder or ExternalEmbedder(dimension)
         self.dimension, self.stale_seconds, self.watch_enabled = self.embedder.dimension(), stale_seconds, watch_enabled
         self.clock = clock or (lambda: int(time.time() * 1000))
         mine = self.embedder.identity()
-        files = self.tables.files
+        files = self.files = Files(spark, self.root)
         if not files.exists("meta.json"):
             if read_only and embedder is not None:
                 raise ReadOnlyError("no embedder is stamped yet")
@@ -147,6 +149,8 @@ class Engine:
 
     def fork(self, root: str, **options) -> Engine:
         """A store of its own that starts with everything in this one."""
+        if not isinstance(self.tables, Tables):
+            raise ConfigError("only a store in folders can be forked")
         self.tables.fork(root)
         return Engine(self.spark, root, **({"dimension": self.dimension, "embedder": self.embedder, "decay": self.decay, "clock": self.clock, "stale_seconds": self.stale_seconds} | options))
 
@@ -157,8 +161,7 @@ class Engine:
 
     def metadata(self) -> dict:
         """The stamp that the first writer left; empty where there is none."""
-        files = self.tables.files
-        return files.read("meta.json") if files.exists("meta.json") else {}
+        return self.files.read("meta.json") if self.files.exists("meta.json") else {}
 
     def config(self) -> dict:
         return {"dimension": self.dimension, "read_only": self.read_only, "decay": self.decay, "stale_seconds": self.stale_seconds}
@@ -515,10 +518,7 @@ class Engine:
         """
         sent = self.table("Cursor").groupBy("peer_id").agg(F.max(F.when(F.col("direction") == "push", F.col("last_sequence"))).alias("n"))
         low = sent.agg(F.min(F.coalesce("n", F.lit(0)))).first()[0] or 0
-        if not low or not self.tables.files.names("log"):
-            return 0
-        first = min(int(n.partition("-")[0]) for n in self.tables.files.names("log"))
-        if first > low:
+        if not low or self.log().where(F.col("seq") <= low).isEmpty():
             return 0
         self.tables.merge()
         return self.tables.drop_log(low)

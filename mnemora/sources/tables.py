@@ -12,6 +12,7 @@ column, and a short tail.  Nothing is ever rewritten in place.
 from __future__ import annotations
 
 import uuid
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,21 @@ def typed(kind: str, body: str | Column | None = None) -> list[Column]:
     return [(F.lit(None) if k != kind or body is None else (F.col(body) if isinstance(body, str) else body)).cast(f"struct<{S.struct_of(k)}>").alias(S.column_of(k)) for k in S.TABLES]
 
 
+class Storage(Protocol):
+    """What the engine asks of its storage; `Tables` keeps it in Parquet folders."""
+
+    log_path: str
+
+    def log(self, since: int = 0) -> DataFrame: ...
+    def last_seq(self) -> int: ...
+    def append(self, rows: DataFrame) -> int: ...
+    def put(self, rows: list[tuple]) -> int: ...
+    def state(self, kind: str, collective_id: str | None = None, key: str | None = None) -> DataFrame: ...
+    def merge(self) -> int: ...
+    def merge_if_long(self) -> None: ...
+    def drop_log(self, upto: int) -> int: ...
+
+
 class Tables:
     def __init__(self, spark: SparkSession, root: str, merge_every: int = MERGE_EVERY):
         self.spark, self.files, self.merge_every = spark, Files(spark, root), merge_every

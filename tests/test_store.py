@@ -64,6 +64,25 @@ def test_merges_by_itself(spark, tmp_path):
     assert 0 < e.tables.pointer()["seq"] < e.get_current_sequence() and sorted(ids(e.list_experiences(c, 9))) == sorted(a)
 
 
+def test_a_storage_of_ones_own(spark, tmp_path):
+    from mnemora.sources.tables import Tables
+
+    class Counting(Tables):
+        written = 0
+
+        def put(self, rows):
+            self.written += len(rows)
+            return super().put(rows)
+
+    own = Counting(spark, f"file://{tmp_path}/a")
+    e = opened(spark, tmp_path, tables=own)
+    c = e.create_collective("one")
+    x = e.record_experience(c, "x", planar(0.9))
+    assert own.written == 2 and e.get_experience(x)["content"] == "x" and e.close() is None
+    assert e.metadata()["schema_version"] == 3 and e.config()["dimension"] == e.embedding_dimension() == 4 and not e.is_read_only()
+    assert e.provider_identity().provider == "external"
+
+
 def test_search_prunes_by_collective(spark, tmp_path):
     e = opened(spark, tmp_path)
     c = e.create_collective("one")
