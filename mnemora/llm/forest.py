@@ -256,7 +256,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, trees: int = 6, le
     if not huge.isEmpty():
         of = join_hot(per, huge, "leaf", "m", total).withColumn("blocks", F.ceil(F.col("m") * 4 / TASK_ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         of = of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("key", F.col("leaf"))
-        dealt = dealt.join(F.broadcast(huge.select("leaf")), "leaf", "left_anti").unionByName(of.select(dealt.columns))  # at most total / TASK_ROWS * 2 rows
+        dealt = dealt.join(huge.select("leaf"), "leaf", "left_anti").unionByName(of.select(dealt.columns))
     columns = ["key", "i", "j", "block", "leaf", "cid", "label", "size", "copies", "embedding", "leaves"]
     found = written(dealt.select(columns).groupBy("key", "i", "j").applyInArrow(lambda t: compare(t, threshold), "cid long, n long, root long"), "links")
 
