@@ -98,11 +98,14 @@ def training_sample(docs: DataFrame, held_out: int, modulus: int, rows: int) ->
     Of each language those come first whose doc_id and text have the smallest hash.
     """
     known = only(docs, doc_id="doc_id", lang="lang", text="text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(crc_of("doc_id") % modulus != held_out, F.lit(False)))
-    keys = known.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"))
-    languages = [r["lang"] for r in keys.select("lang").distinct().collect()]  # a row a language
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text_hash"), "doc_id", "text_hash")
-    # the first rows of each input partition are kept before the shuffle
-    ids = written(keys.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(1, rows // max(1, len(languages)))).drop("_n").distinct(), "chosen")
+    keys = known.select("doc_id", "lang", F.xxhash64("text").alias("text_hash")).withColumn("place", F.xxhash64("doc_id", "text_hash"))
+    sizes = {r["lang"]: r["count"] for r in keys.groupBy("lang").count().collect()}  # a row a language
+    each = max(1, rows // max(1, len(sizes)))
+    # of a language of n rows those with the smallest hashes: six deviations more than are needed, then the first of these
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, (each + 6 * each**0.5 + 10) / n))]) if sizes else F.lit(None).cast("map<string,double>")
+    few = keys.where(F.pmod("place", F.lit(1 << 53)).cast("double") < share[F.col("lang")] * float(1 << 53))
+    order = Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(1 << 53)), "doc_id", "text_hash")
+    ids = written(few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select("doc_id", "lang", "text_hash").distinct(), "chosen")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in row_blocks(batches):

@@ -25,7 +25,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 class LibraryEncoder:
-    def __init__(self, path: str, pieces: int = 1_000_000):
+    def __init__(self, path: str, pieces: int = 500_000):
         from tokenizers.models import BPE
 
         with open(path) as f:
@@ -83,6 +83,6 @@ class LibraryEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pieces: int = 1_000_000) -> LibraryEncoder:
+def encoder(path: str, pieces: int = 500_000) -> LibraryEncoder:
     """A worker's encoder, whose cache holds at most so many pieces."""
     return LibraryEncoder(path, pieces)

@@ -28,7 +28,7 @@ class PieceCache:
     Holds at most `limit` pieces; when full it starts anew, which costs time but changes no result.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[bytes]], list[bytes]], limit: int = 1_000_000):
+    def __init__(self, encode_pieces: Callable[[list[bytes]], list[bytes]], limit: int = 500_000):
         self.encode_pieces, self.limit = encode_pieces, limit
         self.slots = 1 << max(10, (2 * limit - 1).bit_length())
         self.shift = np.uint64(64 - self.slots.bit_length() + 1)
