@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Characters that a Python worker handles at a time; longer texts go through in segments.
 BLOCK_CHARS = 500_000
+#: Bytes of rows that Spark hands to a Python worker at a time, unless the session says otherwise; a longer row goes alone.
+BATCH_BYTES = 8 << 20
 #: So many rows of a few numbers may be broadcast, once counted: by a join that would else shuffle keys, and by one that would else shuffle texts.
 BROADCAST_ROWS, BROADCAST_IDS = 10_000, 500_000
 
@@ -67,12 +69,20 @@ def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of texts, which else hold 10,000 rows whatever their length; a setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # Spark's default
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns alone, renamed as the operator knows them.
 
     Other columns don't matter, not even those whose names differ in case alone: the
     name in its exact case is meant, or else the only one without regard to case.
     """
+    small_batches(df.sparkSession)
     picked = [(position(df, source), name) for name, source in columns.items()]
     if len({c.lower() for c in df.columns}) < len(df.columns):  # names that clash can't be told apart by Spark's resolver
         return numbered(df).select(*[F.col(f"c{i}").alias(name) for i, name in picked])
@@ -94,6 +104,7 @@ def numbered(df: DataFrame) -> DataFrame:
 
 def keep_rows(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text_col: str = "text") -> DataFrame:
     """The rows, all columns, whose texts (null: empty) `keep` holds for; it gets blocks of texts."""
+    small_batches(docs.sparkSession)
     plain, column = numbered(docs), f"c{position(docs, text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
