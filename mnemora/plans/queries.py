@@ -895,6 +895,37 @@ def after_delete_collective(spark, sf_dir):
     return out
 
 
+@query("SELECT id, CASE WHEN id = 5 THEN 0.9 ELSE importance END AS importance, app_a + app_b + CASE WHEN id = 8 THEN 2 ELSE 0 END AS n, archived OR id = 12 AS archived FROM exp WHERE id <> 24")
+def after_sync(spark, sf_dir):
+    """Two stores that both change, and one exchange: the other store's rows."""
+    from mnemora.sources.replicate import InMemorySyncTransport, SyncManager, SyncServer
+
+    a, b = store(spark, sf_dir, instance_id="A"), store(spark, sf_dir, instance_id="B")
+    a.update_experience("5", importance=0.9)
+    a.archive_experience("12")
+    a.delete_experience("24")
+    a.reinforce_experience("8")
+    b.reinforce_experience("8")
+    SyncManager(a, InMemorySyncTransport(SyncServer(b))).sync_once()
+    return b.table("Experience").select(_long("id"), "importance", S.total_applications(F.col("applications")).alias("n"), "archived")
+
+
+@query("SELECT 1000000 + id AS id, 'Created' AS event_type, importance FROM exp WHERE collective_id = 3 AND importance >= 0.6 UNION ALL SELECT 3, 'Deleted', NULL")
+def watch_events(spark, sf_dir):
+    """What a filtered stream of a collective's changes gives: many created at once, and one deleted."""
+    from mnemora.streaming.watch import start
+
+    e = store(spark, sf_dir)
+    rows = _rows(A.vectors(spark, sf_dir)).withColumn("id", (F.col("id").cast("long") + 1_000_000).cast("string")).withColumn("content", F.lit("copy")).withColumn("source_agent", F.lit("agent"))
+    e.record_experiences(rows)
+    # of every collective's rows one goes, by its id; only the watched collective's is seen
+    gone = e.table("Experience", "3").select(F.min(_long("id"))).first()[0]
+    e.delete_experience(str(gone))
+    seen = f"{e.root}/seen"
+    start(e.watch_experiences("3", WatchFilter(min_importance=0.6)), lambda df, _: df.write.mode("append").parquet(seen), f"{e.root}/checkpoint").awaitTermination()
+    return spark.read.parquet(seen).select(F.when(F.col("event_type") == "Deleted", 3).otherwise(F.col("entity_id").cast("long")).cast("long").alias("id"), "event_type", "row.importance")
+
+
 # rows only
 
 
