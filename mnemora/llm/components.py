@@ -60,7 +60,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node with a link; links: a, b long."""
-    edges = written(links.select("a", "b").where(F.col("a") != F.col("b")).mapInArrow(_forest, "a long, b long"), "forest")
+    # what finds the links may run in Python too: written first, so that no task holds two workers
+    found = written(links.select("a", "b").where(F.col("a") != F.col("b")), "found")
+    edges = written(found.mapInArrow(_forest, "a long, b long"), "forest")
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
