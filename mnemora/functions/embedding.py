@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from mnemora.errors import EmbeddingError, ValidationError
+from mnemora.errors import ConfigError, EmbeddingError, ValidationError
 
 
 @dataclass(frozen=True)
@@ -115,6 +115,14 @@ class OnnxEmbedder:
             return ProviderIdentity("onnx", hashlib.file_digest(f, "sha256").hexdigest()[:16])
 
 
+def create_embedding_service(kind: str = "external", **options) -> EmbeddingService:
+    """external (dimension), hash (dimension) or onnx (model_path, tokenizer_path, dimension)."""
+    kinds = {"external": ExternalEmbedder, "hash": HashEmbedder, "onnx": OnnxEmbedder}
+    if kind not in kinds:
+        raise ConfigError(f"no embedding service {kind}")
+    return kinds[kind](**options)
+
+
 def mean_pool(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
     m = mask[:, :, None].astype(float)
     v = (tokens * m).sum(1) / np.maximum(m.sum(1), 1e-9)

@@ -50,6 +50,18 @@ class SearchFilter:
         return every(c)
 
 
+    def matches(self, row: dict) -> bool:
+        """The same for one row in hand."""
+        return (
+            not (self.exclude_archived and row["archived"])
+            and (self.domains is None or bool({x for x in row["domain"] or () if x is not None} & set(self.domains)))
+            and (self.types is None or row["type_tag"] in self.types)
+            and (self.min_importance is None or row["importance"] >= self.min_importance)
+            and (self.min_confidence is None or row["confidence"] >= self.min_confidence)
+            and (self.since_ms is None or row["ts_ms"] >= self.since_ms)
+        )
+
+
 @dataclass(frozen=True)
 class WatchFilter:
     domains: tuple[str, ...] | None = None

@@ -64,7 +64,7 @@ class SyncTransport(Protocol):
 
 def changes_since(engine: Engine, since: int, limit: int, config: SyncConfig) -> tuple[DataFrame, int, bool]:
     """Own changes after `since` with their rows, the last sequence scanned, and whether more follow."""
-    page = L.scan(engine.visible_log(since), since, limit)
+    page = engine.page(since, limit)
     last = page.agg(F.max("seq"), F.count(F.lit(1))).first()
     rows = page.where(F.col("origin") == engine.instance_id)
     if config.collectives is not None:

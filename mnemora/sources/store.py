@@ -491,9 +491,18 @@ class Engine:
     def visible_log(self, since: int = 0) -> DataFrame:
         return self.log(since).where("visible")
 
+    def page(self, since: int, limit: int) -> DataFrame:
+        """The next `limit` visible log rows: as much of the log is read as holds them."""
+        rows, end = limit, self.tables.last_seq()
+        while True:
+            page = L.scan(self.tables.log(since, rows).where("visible"), since, limit)
+            if since + rows >= end or page.count() >= limit:
+                return page
+            rows *= 4  # many rows there are invisible
+
     def poll_changes(self, since: int, limit: int = 1000) -> tuple[DataFrame, int]:
         """Experience events of the next `limit` log rows, and the sequence to go on from."""
-        page = L.scan(self.visible_log(since), since, limit)
+        page = self.page(since, limit)
         return page.where(F.col("entity_type") == "Experience"), page.agg(F.max("seq")).first()[0] or since
 
     poll_changes_batch = poll_changes
@@ -574,6 +583,6 @@ class ChangePoller:
         return rows.orderBy("seq").collect()  # at most `limit` rows
 
     def poll_sync_events(self, engine: Engine) -> list:
-        rows = L.scan(engine.visible_log(self.last_sequence), self.last_sequence, self.limit).orderBy("seq").collect()
+        rows = engine.page(self.last_sequence, self.limit).orderBy("seq").collect()
         self.last_sequence = rows[-1]["seq"] if rows else self.last_sequence
         return rows

@@ -36,7 +36,7 @@ class Storage(Protocol):
 
     log_path: str
 
-    def log(self, since: int = 0) -> DataFrame: ...
+    def log(self, since: int = 0, rows: int | None = None) -> DataFrame: ...
     def last_seq(self) -> int: ...
     def append(self, rows: DataFrame) -> int: ...
     def put(self, rows: list[tuple]) -> int: ...
@@ -61,13 +61,21 @@ class Tables:
         """Folders with rows after a sequence number."""
         return [f"log/{n}" for n in self.files.names("log") if int(n.rpartition("-")[2]) > since]
 
-    def log(self, since: int = 0) -> DataFrame:
-        """Rows of the log after a sequence number; folders before it aren't read."""
+    def log(self, since: int = 0, rows: int | None = None) -> DataFrame:
+        """Rows of the log after a sequence number; folders before it aren't read, nor such as come after the first `rows` rows."""
         found = self.changes(since)
+        if rows is not None:
+            have = 0
+            for k, name in enumerate(found):
+                first, _, last = name.rpartition("/")[2].partition("-")
+                have += int(last) - max(int(first) - 1, since)
+                if have >= rows:
+                    found = found[: k + 1]
+                    break
         if not found:
             return self.spark.createDataFrame([], S.LOG)
-        rows = self.spark.read.schema(S.LOG).parquet(*map(self.files.at, found))
-        return rows.where(F.col("seq") > since) if since else rows
+        out = self.spark.read.schema(S.LOG).parquet(*map(self.files.at, found))
+        return out.where(F.col("seq") > since) if since else out
 
     def last_seq(self) -> int:
         names = self.files.names("log")

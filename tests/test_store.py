@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from mnemora import schemas as S
 from mnemora.errors import ConfigError, MnemoraError, ReadOnlyError, StorageError, SyncError, ValidationError
 from mnemora.functions import vectors
-from mnemora.functions.embedding import HashEmbedder, OnnxEmbedder
+from mnemora.functions.embedding import HashEmbedder, OnnxEmbedder, create_embedding_service, validate_embedding
 from mnemora.functions.scoring import DecayConfig
 from mnemora.operators.context import ContextRequest
+from mnemora.operators.filters import SearchFilter
 from mnemora.operators.index import ApproximateIndex, ExactIndex
 from mnemora.provider import EngineProvider, MemoryProvider
 from mnemora.sources.lock import WriterLock
@@ -407,6 +408,22 @@ def test_block_products(spark):
         assert s is None if 7 in (a, b) else s == pytest.approx(x[a] @ x[b] / np.linalg.norm(x[a]) / np.linalg.norm(x[b]))
 
 
+def test_filters_in_hand_and_as_columns(spark):
+    rows = [{"id": i, "archived": i % 5 == 0, "domain": [None, ["x", None], ["y"], []][i % 4], "type_tag": i % 3, "importance": i / 40, "confidence": 1 - i / 40, "ts_ms": i} for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, archived boolean, domain array<string>, type_tag int, importance double, confidence double, ts_ms long")
+    for f in (SearchFilter(), SearchFilter(exclude_archived=False), SearchFilter(("x", "z")), SearchFilter(()), SearchFilter(types=(1, 2)), SearchFilter(types=()), SearchFilter(min_importance=0.5, min_confidence=0.2), SearchFilter(("y",), (0, 2), 0.1, 0.1, 7)):
+        assert sorted(ids(df.where(f.column()))) == [r["id"] for r in rows if f.matches(r)]
+
+
+def test_embedding_services():
+    assert create_embedding_service("hash", dimension=8).dimension() == len(create_embedding_service("hash", dimension=8).embed("a b")) == 8
+    assert create_embedding_service(dimension=4).identity().provider == "external"
+    with pytest.raises(ConfigError):
+        create_embedding_service("other")
+    with pytest.raises(ValidationError):
+        validate_embedding(create_embedding_service(dimension=4), [1.0])
+
+
 def test_lock(spark, tmp_path):
     root = f"file://{tmp_path}/s"
     with WriterLock.acquire_exclusive(spark, root) as lock:
