@@ -61,7 +61,7 @@ def beginnings(words: set[str]) -> set[str]:
 class Lexicon:
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
-    bias: float = -20.0
+    bias: float = -math.inf  # no labels of both classes: every score is 0
     slope: float = 0.0
     _found: object = field(default=None, repr=False, compare=False)
 
@@ -105,7 +105,7 @@ class Lexicon:
         return total and total / math.log2(4 + text.count(" ") + text.count("\n"))
 
     def score(self, text: str) -> float:
-        if not self.weights:
+        if self.bias == -math.inf:
             return 0.0
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * self.density(text)))))
 
