@@ -1,8 +1,9 @@
 """Operator 5: toxicity by a weighted lexicon.
 
 Texts are folded (lower case, compatibility forms such as mathematical and wide
-letters, accents, homoglyphs, digit and sign substitutions).  The lexicon holds
-whole words and word beginnings; it is learned on a bounded labelled sample by
+letters, stray combining marks, homoglyphs, digit and sign substitutions; accents
+stay, as they tell words of other languages apart).  The lexicon holds whole words
+and word beginnings; it is learned on a bounded labelled sample by
 sequential covering: of all beginnings that toxic documents have far more often,
 the one that explains most words not yet explained comes next; then the same goes
 on for documents without any.  Words that only ride along in copies earn no place.  An Aho-Corasick automaton finds
@@ -48,7 +49,7 @@ END = "|"
 
 def fold(text: str) -> str:
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
+        text = unicodedata.normalize("NFKC", text)
     return text.lower().translate(FOLD)
 
 
