@@ -21,7 +21,6 @@ other columns are not read.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
