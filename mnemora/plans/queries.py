@@ -818,10 +818,12 @@ def after_reinforce(spark, sf_dir):
 
 @query("SELECT id, source_id, target_id FROM rel UNION ALL SELECT 100000 + g.id, g.source_id, g.target_id FROM edges g JOIN exp s ON s.id = source_id JOIN exp t ON t.id = target_id WHERE s.collective_id = t.collective_id AND NOT EXISTS (SELECT 1 FROM rel r WHERE r.source_id = g.source_id AND r.target_id = g.target_id AND r.relation_type = (g.relation_type + 1) % 6)")
 def after_store_relation(spark, sf_dir):
+    """New relations have ids of their own in the store: 100000 + id, as the SQL numbers them, may be an old one's."""
     e = store(spark, sf_dir)
-    new = A.all_edges(spark, sf_dir).withColumn("relation_type", (F.col("relation_type") + 1) % 6).withColumn("id", F.col("id") + 100_000)
-    e.store_relations(relation_rows(new, A.vectors(spark, sf_dir)))
-    return e.table("Relation").select(_long("id"), _long("source_id"), _long("target_id"))
+    new = A.all_edges(spark, sf_dir).withColumn("relation_type", (F.col("relation_type") + 1) % 6)
+    e.store_relations(relation_rows(new, A.vectors(spark, sf_dir)).withColumn("id", F.concat(F.lit("new-"), "id")))
+    number = F.when(F.col("id").startswith("new-"), F.expr("substr(id, 5)").cast("long") + 100_000).otherwise(_long("id"))
+    return e.table("Relation").select(number.alias("id"), _long("source_id"), _long("target_id"))
 
 
 @query("SELECT id FROM rel WHERE id % 2 <> 0")

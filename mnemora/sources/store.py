@@ -370,13 +370,17 @@ class Engine:
         # of equal new ones the first by id
         first = rows.groupBy("source_id", "target_id", "relation_type").agg(F.min("id").alias("_first"))
         key = ["source_id", "target_id", "relation_type"]
+        # a row under an id that is held would replace the other relation; of new ones of one id the first by key
+        taken = self.table("Relation").select("id").withColumn("_taken", F.lit(True))
+        own = rows.groupBy("id").agg(F.min(F.struct(*key)).alias("_own"))
         rules = validation.relation_rules() | {
             "type_unknown": ~F.coalesce(F.col("relation_type").isin(*S.RELATION_TYPES), F.lit(False)),
             "end_missing": F.col("source_collective").isNull() | F.col("target_collective").isNull(),
             "collectives_differ": F.col("source_collective") != F.col("target_collective"),
             "relation_exists": F.col("_held").isNotNull() | (F.col("id") != F.col("_first")),
+            "id_exists": F.col("_taken").isNotNull() | (F.struct(*key) != F.col("_own")),
         }
-        marked = joined.join(held, key, "left").join(first, key, "left").withColumn("violations", validation.violations(rules)).withColumn("created_at_ms", F.lit(self.clock())).withColumn("collective_id", F.col("source_collective"))
+        marked = joined.join(held, key, "left").join(first, key, "left").join(taken, "id", "left").join(own, "id", "left").withColumn("violations", validation.violations(rules)).withColumn("created_at_ms", F.lit(self.clock())).withColumn("collective_id", F.col("source_collective"))
         good = marked.where(F.size("violations") == 0).select(F.col("id").alias("entity_id"), "collective_id", F.struct(*S.names_of("Relation")).alias("body"))
         self._commit(self._append_table("Relation", good, "Created", "body"))
         return marked.where(F.size("violations") > 0).select(*rows.columns, "violations")

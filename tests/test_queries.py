@@ -34,6 +34,21 @@ def test_matches_sql(spark, duck, name):
     assert table(df.columns, df.collect()) == table(rel.columns, rel.fetchall())
 
 
+def test_new_relations_under_numbers_of_old_ones(spark, tmp_path):
+    """As from 100,000 experiences on: the SQL numbers a new relation 100000 + id, which an old one has."""
+    for t in set(TABLES) - {"embeddings"}:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    e.union(e.selectExpr("vec_id + 100000", "embedding", "label")).write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet{'/*.parquet' if t == 'embeddings' else ''}'")
+    df = core.queries()["after_store_relation"](spark, f"file://{tmp_path}").select("id", "source_id", "target_id")
+    got = sorted(map(tuple, df.collect()))
+    assert got == sorted(c.sql(f"select id, source_id, target_id from ({core.oracle_sql()['after_store_relation']})").fetchall())
+    assert len({r[0] for r in got}) < len(got) == len(set(got))
+
+
 def test_every_stated_query_is_searched(spark):
     stated = set(range(0, 500, 20))
     for name in ("search_batch_stated", "recall_neighbours"):

@@ -344,6 +344,20 @@ def test_bulk_writes(spark, tmp_path):
     assert seen == sorted(seen) and len(seen) == len(set(seen)) == e.get_current_sequence()
 
 
+def test_bulk_relations_replace_none(spark, tmp_path):
+    e = opened(spark, tmp_path)
+    c = e.create_collective("one")
+    x, y = (e.record_experience(c, t, planar(0.5)) for t in "xy")
+    rows = lambda *r: spark.createDataFrame([(i, *((x, y) if d else (y, x)), t, 0.5) for i, d, t in r], "id string, source_id string, target_id string, relation_type string, strength double")
+    kinds = lambda: {r["id"]: (r["source_id"], r["relation_type"]) for r in e.table("Relation").collect()}
+    assert e.store_relations(rows(("r1", True, "Supports"))).isEmpty()
+    bad = e.store_relations(rows(("r1", False, "Implies"), ("r2", True, "Implies"), ("r2", True, "RelatedTo"))).collect()
+    assert sorted((r["id"], r["relation_type"], *r["violations"]) for r in bad) == [("r1", "Implies", "id_exists"), ("r2", "RelatedTo", "id_exists")]
+    assert kinds() == {"r1": (x, "Supports"), "r2": (x, "Implies")} and e.get_current_sequence() == 5
+    e.delete_relations(rows(("r1", True, "Supports")))
+    assert e.store_relations(rows(("r1", False, "Implies"))).isEmpty() and kinds()["r1"] == (y, "Implies")
+
+
 @pytest.mark.parametrize("kind", [ExactIndex, ApproximateIndex])
 def test_index(spark, tmp_path, kind):
     index = kind(spark, f"file://{tmp_path}/i", 4)
